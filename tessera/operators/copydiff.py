@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -27,7 +28,7 @@ def _first_of_each(t: pa.Table) -> pa.Table:
     """The first row of every (key, side), in the order of t."""
     n = pa.array(range(t.num_rows), pa.int64())
     first = t.select(["row_key", "side"]).append_column("n", n).group_by(["row_key", "side"], use_threads=False).aggregate([("n", "min")])
-    return t if first.num_rows == t.num_rows else t.take(first["n_min"])
+    return t if first.num_rows == t.num_rows else t.take(np.sort(first["n_min"].to_numpy()))
 
 
 def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
