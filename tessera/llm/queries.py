@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.llm.bpe import count_tokens, encode_texts
 from tessera.llm.mixing import draw_records, drawn_shares, plan_mixes
 from tessera.llm.percentiles import build_sketches, merge_sketches, percentiles
+from tessera.llm.subjects import assign_subjects
 from tessera.llm.topn import top_n
 from tessera.session import cut_lineage, table
 
@@ -92,7 +93,23 @@ def p8_drawn_shares(spark: SparkSession, d: str) -> DataFrame:
     return drawn_shares(draw_records(sized, plan_mixes(sized, table(spark, d, "mix_targets"))))
 
 
-QUERIES = {"p2_percentiles": p2_percentiles, "p2_merged_months": p2_merged_months, "p2_within_bounds": p2_within_bounds, "p5_found": p5_found, "p7_ids": p7_ids, "p8_plan": p8_plan, "p8_found": p8_found, "p8_drawn_shares": p8_drawn_shares}
+def _p9(spark: SparkSession, d: str) -> DataFrame:
+    subjects = [r[0] for r in table(spark, d, "subjects").select("subject").orderBy("subject").collect()]  # a fixed table
+    return assign_subjects(table(spark, d, "documents"), table(spark, d, "subject_labels"), subjects, cut=cut_lineage)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p9(spark, d).select("doc_id", "subject")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Per subject, how many documents are about it and their share of the corpus."""
+    total = table(spark, d, "documents").agg(F.count(F.lit(1)).alias("total"))
+    per = _p9(spark, d).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"))
+    return per.crossJoin(F.broadcast(total)).select("subject", "documents", (F.col("documents") / F.col("total")).alias("share"))  # one row
+
+
+QUERIES = {"p2_percentiles": p2_percentiles, "p2_merged_months": p2_merged_months, "p2_within_bounds": p2_within_bounds, "p5_found": p5_found, "p7_ids": p7_ids, "p8_plan": p8_plan, "p8_found": p8_found, "p8_drawn_shares": p8_drawn_shares, "p9_found": p9_found, "p9_shares": p9_shares}
 
 
 def _top(name: str, t: str, p: str, key: str) -> str:
