@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from collections import Counter
@@ -54,7 +55,7 @@ if __name__ == "__main__":
     from tessera.session import build_session
 
     d = sys.argv[1]
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+    spark = build_session(master=os.environ.get("COMPARE_MASTER", "local[8]"), **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     c, q, o = duck(d), e.queries(), e.oracle_sql()
     for n in sys.argv[2:] or q:
