@@ -8,10 +8,11 @@ import unicodedata
 
 import regex
 
-_INVISIBLE = re.compile("[​‌‍⁠﻿­]")
+_INVISIBLE = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad]")
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<\|[^<>|]{1,40}\|>")
 _CODE = re.compile(r"```.*?(?:```|\Z)", re.S)
-_MOJIBAKE = re.compile("[ÃÂâäåæçèé][-ÿŒœŠšŸŽžƒˆ˜–-›€™]")
+#: A lead byte of UTF-8 read as a Latin letter, then a continuation byte read as Latin-1 or Windows-1252.
+_MOJIBAKE = re.compile("[\u00c2-\u00f4][\u0080-\u00bf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]")
 #: What may stand before a sentence on its line: time stamps, table frames, list marks, speakers, headings.
 _LEAD = re.compile(r"^(?:\d{4}-\d\d-\d\d[ T]\d\d:\d\d(?::\d\d)?\s+(?:[A-Z]{3,8}|note)\b|\|(?:\s*\d+\s*\|)?|\d+(?:\.\d+)+\.?(?=\s)|\d+[.)](?=\s)|[-*•>]+(?=\s)|#+(?=\s)|[A-Z]\w{1,20}>(?=\s)|\s+)+")
 _FRAME = re.compile(r"^[\s|:*=_~#-]*$|^\|?\s*no\s*\|\s*text\s*\|?$")
@@ -42,24 +43,27 @@ def repaired(text: str) -> str:
     return _HYPHEN.sub("", _FOOTER.sub("\n", _CODE.sub("\n", text)))
 
 
-def sentences(text: str | None) -> list[str]:
-    """The sentences of a text, in order; lines, and . ? ! or their full-width forms, end one. None for a null text."""
+def _of(clean: str) -> list[str]:
     out: list[str] = []
-    for line in repaired(text).split("\n") if text else ():
+    for line in clean.split("\n"):
         line = _LEAD.sub("", line.strip())
         if _FRAME.match(line):
             continue
-        line = line.rstrip("| ")
-        for s in _END.split(line):
+        for s in _END.split(line.rstrip("| ")):
             s = s.strip()
             if len(_WORD.findall(s)) >= 2 or len("".join(_HAN.findall(s))) >= 2:
                 out.append(s)
     return out
 
 
+def sentences(text: str | None) -> list[str]:
+    """The sentences of a text, in order; lines, and . ? ! or their full-width forms, end one. None for a null text."""
+    return _of(repaired(text)) if text else []
+
+
 def paragraphs(text: str | None) -> list[list[str]]:
     """The sentences of each paragraph (between blank lines) that has any."""
-    return [p for part in re.split(r"\n\s*\n", repaired(text)) if (p := sentences(part))] if text else []
+    return [p for part in re.split(r"\n\s*\n", repaired(text)) if (p := _of(part))] if text else []
 
 
 #: Function words by which the language of a text is told; Chinese is told by its signs.
@@ -83,8 +87,8 @@ def language(text_features: list[list[str]]) -> str:
     n = dict.fromkeys((*FUNCTION_WORDS, "zh"), 0)
     for fs in text_features:
         for f in fs:
-            if _HAN.match(f):
-                n["zh"] += 1
+            if han := _HAN.findall(f):
+                n["zh"] += sum(map(len, han))
             else:
                 for lang, words in FUNCTION_WORDS.items():
                     n[lang] += 2 * (f in words)

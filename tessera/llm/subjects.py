@@ -10,8 +10,10 @@ over the whole corpus, and documents get the subjects whose posterior probabilit
 
 from __future__ import annotations
 
+import pickle
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,7 @@ from tessera.llm.sentences import ASIDES, features, language, paragraphs, senten
 
 LEAST_SHARE = 0.2
 MOST_LABELLED = 8_000  # documents whose labels the lexicon is fitted to; a sample by hash of doc_id where there are more
+SEEN_SENTENCES = 100_000  # looked-up sentences per worker
 VOTES = ("lexicon", "section", "source", "address", "label")
 
 
@@ -32,18 +35,28 @@ class Lexicon:
 
     subjects: list[str]
     parts: dict[str, tuple[dict[str, int], np.ndarray, np.ndarray]]
+    seen: dict[tuple[str, str], int] = field(default_factory=dict, repr=False)
 
     def classify(self, sentence_features: list[list[str]], lang: str) -> np.ndarray:
         """The likeliest class of each sentence; none in a language without labels."""
+        return np.array([self._class(fs, lang) for fs in sentence_features], int)
+
+    def _class(self, fs: list[str], lang: str) -> int:
         if lang not in self.parts:
-            return np.zeros(len(sentence_features), int)
+            return 0
         number, logphi, logpi = self.parts[lang]
-        out = np.zeros(len(sentence_features), int)
-        for i, fs in enumerate(sentence_features):
-            known = [number[f] for f in fs if f in number]
-            if known:
-                out[i] = int(np.argmax(logpi + logphi[known].sum(axis=0)))
-        return out
+        known = [number[f] for f in fs if f in number]
+        return int((logphi[known].sum(axis=0) + logpi).argmax()) if known else 0
+
+    def classify_sentence(self, sentence: str, lang: str) -> int:
+        """The class of a sentence as it stands; sentences that come often are looked up."""
+        got = self.seen.get((lang, sentence))
+        if got is None:
+            got = 0 if ASIDES.search(sentence) else self._class(features(sentence), lang)
+            if len(self.seen) >= SEEN_SENTENCES:
+                self.seen.clear()
+            self.seen[lang, sentence] = got
+        return got
 
 
 def _fit_language(docs: list[tuple[list[list[str]], list[int]]], classes: int, doubt: float = 0.05, smooth: float = 3.0, rounds: int = 15):
@@ -101,17 +114,40 @@ def _fit_language(docs: list[tuple[list[list[str]], list[int]]], classes: int, d
     return number, logphi.astype(np.float32), np.log((q.sum(axis=0) + 1) / (q.sum() + classes)).astype(np.float32)
 
 
+def prepared(text: str | None) -> tuple[str, list[list[str]]]:
+    """Language and sentence features of a text, without sentences that name a subject only in passing or to deny it."""
+    fs = [f for s in sentences(text) if not ASIDES.search(s) and (f := features(s))]
+    return language(fs), fs
+
+
 def fit_lexicon(labelled: list[tuple[str | None, list[str]]], subjects: list[str]) -> Lexicon:
     """From texts with their labelled subjects (unknown ones are ignored; an empty list means none)."""
     number = {s: i + 1 for i, s in enumerate(subjects)}
     by_language: dict[str, list] = {}
     for text, labels in labelled:
-        fs = [f for s in sentences(text) if not ASIDES.search(s) and (f := features(s))]
+        lang, fs = prepared(text)
         if fs:
-            by_language.setdefault(language(fs), []).append((fs, sorted({number[s] for s in labels if s in number})))
+            by_language.setdefault(lang, []).append((fs, sorted({number[s] for s in labels if s in number})))
     return Lexicon(subjects, {lang: _fit_language(docs, len(subjects) + 1) for lang, docs in by_language.items()})
 
 
+def fit_lexicon_on(sample: DataFrame, subjects: list[str]) -> Lexicon:
+    """The same from a bounded DataFrame of text and labels, each language in a task of its own; only the fitted lexicon comes to the driver."""
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([prepared(t.as_py())[0] for t in b.column(0)], pa.string()), *b.columns], names=["lang", "text", "labels"])
+
+    def fit(key: tuple, t: pa.Table) -> pa.Table:
+        lex = fit_lexicon([(x, y) for x, y in zip(t["text"].to_pylist(), t["labels"].to_pylist())], subjects)
+        return pa.table({"part": pa.array([pickle.dumps(lex.parts)], pa.binary())})
+
+    by_language = sample.select("text", "labels").mapInArrow(told, "lang string, text string, labels array<string>")
+    parts: dict = {}
+    for r in by_language.groupBy("lang").applyInArrow(fit, "part binary").collect():  # a row per language
+        parts |= pickle.loads(r["part"])
+    return Lexicon(subjects, parts)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
     """doc_id, text and the array of labels of at most `most` labelled documents."""
     per = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_set("subject").alias("labels"))  # nulls are left out
@@ -132,13 +168,10 @@ def sentence_counts(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataF
                 n, about, mainly = [], [], []
                 for t in part.column(part.num_columns - 1):
                     paras = paragraphs(t.as_py())
-                    fs = [[features(s) for s in p] for p in paras]
-                    lang = language([f for p in fs for f in p])
+                    lang = language([re.findall(r"\w+", s.lower()) for p in paras for s in p])
                     total, sections = np.zeros(k, int), np.zeros(k, int)
-                    for p, f in zip(paras, fs):
-                        c = lex.classify(f, lang)
-                        c[[bool(ASIDES.search(s)) for s in p]] = 0
-                        counts = np.bincount(c, minlength=k)
+                    for p in paras:
+                        counts = np.bincount([lex.classify_sentence(s, lang) for s in p], minlength=k)
                         total += counts
                         if len(p) > 1:
                             sections += 2 * counts > len(p)
@@ -216,8 +249,7 @@ def assign_subjects(docs: DataFrame, labels: DataFrame, subjects: list[str], mos
     `subjects` are ignored, as are labels of unknown documents; repeated labels count once. Other columns are ignored.
     cut stores what is read more than once.
     """
-    sample = [(r["text"], list(r["labels"])) for r in labelled_sample(docs, labels, most_labelled).collect()]  # bounded
-    lexicon = fit_lexicon(sample, subjects)
+    lexicon = fit_lexicon_on(labelled_sample(docs, labels, most_labelled), subjects)
     slim = docs.select("doc_id", "source", F.regexp_extract(F.coalesce("doc_number", F.lit("")), r"^\p{L}+", 0).alias("address"), "text")
     counts = cut(sentence_counts(slim, lexicon, ["source", "address"]))
     votes = subject_votes(counts, labels, subjects, least_share)
