@@ -19,11 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut_lineage
+
 PIECE_ROWS = 4096
 HALO_ROWS = 96
+BROADCAST_ROWS = 100_000  # long sources are broadcast up to so many, and joined beyond
 GAMMA = 1.02  # of the sketch: relative error of a quantile is below 1 %
 OFFSET = 6000  # bucket of a deviation of zero
 TINY = 1e-9  # deviations below this count as zero
+NO_SOURCE = "\x00"  # stands for a null source, so that its rows form one
 EQUAL, LONG_EQUAL, READINGS = 100_000, 100_001, 100_002  # counters kept beside the buckets
 
 
@@ -42,7 +46,9 @@ def pieces(df: DataFrame, source: str, at: str, piece_rows: int = PIECE_ROWS, ha
     """df with `piece` and `core`: long sources are cut by time; rows near a cut also go to the neighbour, with core false."""
     t = F.col(f"`{at}`").cast("timestamp").cast("double")
     per = df.where(F.col(f"`{source}`").isNotNull()).groupBy(F.col(f"`{source}`").alias("long_source")).agg(F.count(F.lit(1)).alias("n"), F.min(t).alias("t0"), F.max(t).alias("t1"))
-    long = per.where(F.col("n") > 2 * piece_rows).select("long_source", "t0", ((F.col("t1") - F.col("t0")) / F.col("n")).alias("step"))
+    long = cut_lineage(per.where(F.col("n") > 2 * piece_rows).select("long_source", "t0", ((F.col("t1") - F.col("t0")) / F.col("n")).alias("step")))
+    if long.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        long = F.broadcast(long)
     x = (t - F.col("t0")) / (F.col("step") * piece_rows)
     own, h = F.floor(x), halo_rows / piece_rows
     all_pieces = F.when(F.col("step") > 0, F.array_distinct(F.array(own, F.floor(x - h), F.floor(x + h)))).otherwise(F.array(F.lit(0).cast("bigint")))
@@ -152,7 +158,7 @@ class Metric:
 def lay_out(df: DataFrame, source: str, at: str, sample_id: str, metrics: list[Metric], piece_rows: int = PIECE_ROWS, halo_rows: int = HALO_ROWS) -> DataFrame:
     """The columns of df that the passes need, as source, piece, core, at, sample_id and for each metric its value, whether it is there, and its limit."""
     per = [c for m in metrics for c in (F.col(f"`{m.name}`").cast("double").alias(m.name), F.col(f"`{m.name}`").isNotNull().alias(f"{m.name}_there"), (F.expr(m.most) if m.most else F.lit(None)).cast("double").alias(f"{m.name}_most"))]
-    slim = df.select(F.col(f"`{source}`").cast("string").alias("source"), F.col(f"`{at}`").cast("timestamp_ntz").alias("at"), F.col(f"`{sample_id}`").cast("bigint").alias("sample_id"), *per)
+    slim = df.select(F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(NO_SOURCE)).alias("source"), F.col(f"`{at}`").cast("timestamp_ntz").alias("at"), F.col(f"`{sample_id}`").cast("bigint").alias("sample_id"), *per)
     return pieces(slim, "source", "at", piece_rows, halo_rows)
 
 
@@ -164,7 +170,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], at_least: int = 20_000) ->
         if sum(map(len, held)) < at_least:
             continue
         t = pa.Table.from_batches(held).to_pandas()
-        last = t["source"].eq(t["source"].iloc[-1]) | (t["source"].isna() & pd.isna(t["source"].iloc[-1]))
+        last = t["source"].eq(t["source"].iloc[-1])
         end = int((~(last & t["piece"].eq(t["piece"].iloc[-1]))).sum())
         if end:
             yield t.iloc[:end].reset_index(drop=True)
@@ -197,9 +203,9 @@ def sketches(laid: DataFrame, metrics: list[Metric], rules: Rules) -> DataFrame:
                 long = same & (equal_stretches(y, seg, np.ones(len(y), bool)) >= rules.stuck)
                 rows = [(v[ok], bucket[ok].astype(int))] + [(v[core & k], np.full(int((core & k).sum()), c)) for k, c in ((same, EQUAL), (long, LONG_EQUAL), (pair, READINGS))]
                 i, b = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-                n = pd.DataFrame({"source": source[i], "hour": hour[i], "bucket": b}).groupby(["source", "hour", "bucket"], dropna=False).size().reset_index(name="n")
+                n = pd.DataFrame({"source": source[i], "hour": hour[i], "bucket": b}).groupby(["source", "hour", "bucket"]).size().reset_index(name="n")
                 if len(n):
-                    yield pa.RecordBatch.from_arrays([pa.array(n["source"].where(n["source"].notna(), None), pa.string()), pa.array([m.name] * len(n), pa.string()), pa.array(n["hour"], pa.int32()), pa.array(n["bucket"], pa.int32()), pa.array(n["n"], pa.int64())], names=["source", "metric", "hour", "bucket", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(n["source"].tolist(), pa.string()), pa.array([m.name] * len(n), pa.string()), pa.array(n["hour"], pa.int32()), pa.array(n["bucket"], pa.int32()), pa.array(n["n"], pa.int64())], names=["source", "metric", "hour", "bucket", "n"])
 
     ordered = laid.repartition("source", "piece").sortWithinPartitions("source", "piece", "at", "sample_id")
     return ordered.mapInArrow(run, "source string, metric string, hour int, bucket int, n bigint")
