@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections import Counter
 
 import regex
 
@@ -18,8 +19,8 @@ _LEAD = re.compile(r"^(?:\d{4}-\d\d-\d\d[ T]\d\d:\d\d(?::\d\d)?\s+(?:[A-Z]{3,8}|
 _FRAME = re.compile(r"^[\s|:*=_~#-]*$|^\|?\s*no\s*\|\s*text\s*\|?$")
 #: An answer on the line of its question belongs to it.
 _END = re.compile(r"(?<=[.?!])\s+(?!A:)|(?<=[。！？])\s*")
-_WORD = regex.compile(r"[\p{L}\p{M}]+")
-_HAN = regex.compile(r"\p{Han}+")
+_WORD = re.compile(r"[^\W\d_]+")
+_HAN = re.compile("[\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
 _SYMBOL = regex.compile(r"[\p{So}\p{Cs}\uFE0F]")
 _HYPHEN = re.compile(r"(?<=[^\s-])-\n(?=\S)")
 _FOOTER = re.compile(r"^--\s*$.*?(?=\n\s*\n|\Z)", re.S | re.M)
@@ -51,7 +52,7 @@ def _of(clean: str) -> list[str]:
             continue
         for s in _END.split(line.rstrip("| ")):
             s = s.strip()
-            if len(_WORD.findall(s)) >= 2 or len("".join(_HAN.findall(s))) >= 2:
+            if len(_WORD.findall(s)) >= 2 or sum(map(len, _HAN.findall(s))) >= 2:
                 out.append(s)
     return out
 
@@ -74,34 +75,34 @@ FUNCTION_WORDS = {
 }
 
 #: Turns of phrase by which a sentence names a subject only in passing, or to deny it.
-ASIDES = regex.compile(
-    r"nothing to do with|\bunrelated\b|\bby the way\b|\baside\b|\bnot about\b|\bno bearing on\b"
-    r"|nichts zu tun|\bnebenbei\b|\bübrigens\b|\bam rande\b|\bohne bezug\b"
-    r"|rien à voir|\bau passage\b|\bsans rapport\b|\ben aparté\b|无关|顺便|题外",
-    regex.I,
-)
-
-
-def language(text_features: list[list[str]]) -> str:
-    """zh, or the language whose function words are the most frequent; en if there are none."""
-    n = dict.fromkeys((*FUNCTION_WORDS, "zh"), 0)
-    for fs in text_features:
-        for f in fs:
-            if han := _HAN.findall(f):
-                n["zh"] += sum(map(len, han))
-            else:
-                for lang, words in FUNCTION_WORDS.items():
-                    n[lang] += 2 * (f in words)
+ASIDES = (
+    "nothing to do with", "unrelated", "by the way", "aside", "not about", "no bearing on",
+    "nichts zu tun", "nebenbei", "übrigens", "am rande", "ohne bezug",
+    "rien à voir", "au passage", "sans rapport", "en aparté",
+    "无关", "顺便", "题外",
+)
+_ASIDE = re.compile("|".join(p if _HAN.match(p) else rf"\b{p}\b" for p in ASIDES))
+
+
+def is_aside(sentence: str) -> bool:
+    low = sentence.lower()
+    return any(p in low for p in ASIDES) and _ASIDE.search(low) is not None
+
+
+def language(sents: list[str]) -> str:
+    """zh, or the language whose function words are the most frequent (two signs weigh as much as a word); en if there are none."""
+    text = " ".join(sents).lower()
+    words = Counter(_WORD.findall(text))
+    n = {lang: 2 * sum(words[w] for w in known) for lang, known in FUNCTION_WORDS.items()}
+    n["zh"] = sum(map(len, _HAN.findall(text)))
     return max(n, key=lambda k: n[k])
 
 
 def features(sentence: str) -> list[str]:
     """Words and pairs of neighbouring words, and two to four neighbouring Chinese signs, each once."""
     s = sentence.lower().replace("_", " ").replace("-", " ")
-    out: set[str] = set()
-    words = [w[:-1] if len(w) > 3 and w.endswith("s") else w for w in _WORD.findall(s) if not _HAN.match(w)]
-    out.update(words)
-    out.update(f"{a} {b}" for a, b in zip(words, words[1:]))
-    for run in _HAN.findall(s):
-        out.update(run[i : i + n] for n in (2, 3, 4) for i in range(len(run) - n + 1))
-    return sorted(out)
+    grams = [run[i : i + n] for run in _HAN.findall(s) for n in (2, 3, 4) for i in range(len(run) - n + 1)]
+    if grams:
+        s = _HAN.sub(" ", s)
+    words = [w[:-1] if len(w) > 3 and w[-1] == "s" else w for w in _WORD.findall(s)]
+    return list(dict.fromkeys([*words, *map(" ".join, zip(words, words[1:])), *grams]))

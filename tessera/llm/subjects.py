@@ -11,7 +11,6 @@ over the whole corpus, and documents get the subjects whose posterior probabilit
 from __future__ import annotations
 
 import pickle
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import spread
-from tessera.llm.sentences import ASIDES, features, language, paragraphs, sentences
+from tessera.llm.sentences import features, is_aside, language, paragraphs, sentences
 
 LEAST_SHARE = 0.2
 MOST_LABELLED = 8_000  # documents whose labels the lexicon is fitted to; a sample by hash of doc_id where there are more
@@ -52,7 +51,7 @@ class Lexicon:
         """The class of a sentence as it stands; sentences that come often are looked up."""
         got = self.seen.get((lang, sentence))
         if got is None:
-            got = 0 if ASIDES.search(sentence) else self._class(features(sentence), lang)
+            got = 0 if is_aside(sentence) else self._class(features(sentence), lang)
             if len(self.seen) >= SEEN_SENTENCES:
                 self.seen.clear()
             self.seen[lang, sentence] = got
@@ -116,8 +115,8 @@ def _fit_language(docs: list[tuple[list[list[str]], list[int]]], classes: int, d
 
 def prepared(text: str | None) -> tuple[str, list[list[str]]]:
     """Language and sentence features of a text, without sentences that name a subject only in passing or to deny it."""
-    fs = [f for s in sentences(text) if not ASIDES.search(s) and (f := features(s))]
-    return language(fs), fs
+    sents = sentences(text)
+    return language(sents), [f for s in sents if not is_aside(s) and (f := features(s))]
 
 
 def fit_lexicon(labelled: list[tuple[str | None, list[str]]], subjects: list[str]) -> Lexicon:
@@ -168,7 +167,7 @@ def sentence_counts(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataF
                 n, about, mainly = [], [], []
                 for t in part.column(part.num_columns - 1):
                     paras = paragraphs(t.as_py())
-                    lang = language([re.findall(r"\w+", s.lower()) for p in paras for s in p])
+                    lang = language([s for p in paras for s in p])
                     total, sections = np.zeros(k, int), np.zeros(k, int)
                     for p in paras:
                         counts = np.bincount([lex.classify_sentence(s, lang) for s in p], minlength=k)
