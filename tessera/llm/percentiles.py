@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,12 +154,11 @@ class DyadicSketch:
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[str | None, pa.RecordBatch]]:
     """Runs of one key, in batches sorted by it; a key may come in several runs."""
     for b in batches:
-        k = b.column(b.schema.get_field_index(key))
-        values = k.to_pylist()
-        cuts = [0, *[i for i in range(1, len(values)) if values[i] != values[i - 1]], len(values)]
-        for a, z in zip(cuts, cuts[1:]):
-            if z > a:
-                yield values[a], b.slice(a, z - a)
+        runs = pc.run_end_encode(b.column(b.schema.get_field_index(key)))
+        start = 0
+        for value, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+            yield value, b.slice(start, end - start)
+            start = end
 
 
 def _by_group(batches: Iterator[pa.RecordBatch], put) -> Iterator[pa.RecordBatch]:

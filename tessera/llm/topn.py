@@ -10,6 +10,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -92,16 +93,22 @@ def top_n(df: DataFrame, groups: list[str], score: str, key: str, n: int, bucket
     b = buckets or 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run, last_group, last, got = TaskContext.get().partitionId(), None, None, 0
+        run = TaskContext.get().partitionId()
+        before: list | None = None  # the last row so far, and how many items its group has kept or passed
+        passed = 0
         for batch in batches:
-            keep = []
-            for i, row in enumerate(zip(*[c.to_pylist() for c in batch.columns])):
-                if row[: len(g)] != last_group:
-                    last_group, last, got = row[: len(g)], None, 0
-                if got < n and row != last:
-                    keep.append(i)
-                    last, got = row, got + 1
-            if keep:
+            if not batch.num_rows:
+                continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            same = [np.r_[before is not None and before[i] == c[0], c[1:] == c[:-1]] for i, c in enumerate(cols)]
+            goes_on = np.logical_and.reduce(same[: len(g)])
+            again = np.logical_and.reduce(same)
+            seen = np.cumsum(~again)
+            start = np.maximum.accumulate(np.where(goes_on, 0, np.arange(len(seen))))
+            place = seen - np.where(np.cumsum(~goes_on) > 0, seen[start] - 1, -passed)  # 1 for the first item of a group
+            keep = np.flatnonzero(~again & (place <= n))
+            before, passed = [c[-1] for c in cols], int(place[-1])
+            if len(keep):
                 t = batch.take(pa.array(keep))
                 yield pa.RecordBatch.from_arrays([*t.columns, pa.array([run] * len(keep), pa.int32())], names=[*g, "low", "item", "run"])
 

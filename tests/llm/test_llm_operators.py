@@ -142,7 +142,9 @@ def test_loser_tree(runs, n):
     assert got == want
 
 
-def test_top_n(spark):
+@pytest.mark.parametrize("batch", ["10000", "7"])
+def test_top_n(spark, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     r = random.Random(4)
     nan = float("nan")
     rows = [(r.randrange(3), r.choice([None, 1, 2]), r.choice([None, nan, -0.0, 0.0, 1.001, 1.0, 5.5, float("inf")]), r.randrange(40), "x", 1, 2.0) for _ in range(600)]
@@ -160,6 +162,7 @@ def test_top_n(spark):
             want[a, b].append(k)
     assert dict(got) == {k: v for k, v in want.items() if v}
     assert top_n(df.where("false"), ["a"], "score", "item", 3).count() == 0
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 # Mixes
