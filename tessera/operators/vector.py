@@ -57,6 +57,25 @@ def nearest_of_each(queries: DataFrame, vectors: DataFrame, k: int, metric: str
     return scored.select("query_id", id_col, similarity(metric, F.col(vec), F.col("_q")).alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def lsh_nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding", tables: int = 8, width: float | None = None, seed: int = 1) -> DataFrame:
+    """query_id and id of the k nearest of the rows that share a hash bucket with each query (euclidean).
+
+    width is the length of a bucket; by default four times the typical spread of a component, from the whole table.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+
+    v = vectors.where(F.col(vec).isNotNull()).select(id_col, array_to_vector(F.col(vec)).alias("_v"))
+    if width is None:
+        moment = vectors.select(F.explode(vec).alias("x")).agg(F.stddev_pop("x")).first()[0] or 1.0
+        size = vectors.agg(F.max(F.size(vec))).first()[0] or 1
+        width = 4.0 * float(moment) * size**0.5 / 4
+    lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=width, numHashTables=tables, seed=seed).fit(v)
+    q = queries.select(id_col, array_to_vector(F.col(vec)).alias("_v"))
+    pairs = lsh.approxSimilarityJoin(q, v, float("inf"), distCol="_d").select(F.col(f"datasetA.{id_col}").alias("query_id"), F.col(f"datasetB.{id_col}").alias(id_col), "_d")
+    w = Window.partitionBy("query_id").orderBy("_d", id_col)
+    return pairs.where(F.col("query_id") != F.col(id_col)).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select("query_id", id_col)
+
+
 class IvfIndex:
     """Inverted lists: every vector belongs to its nearest centre; a search reads the lists of the nearest centres only."""
 

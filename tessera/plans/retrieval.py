@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import spatial as SP
 from tessera.operators import text as T
 from tessera.operators import vector as V
+from tessera.operators.cypher import cypher
 from tessera.operators.graph import Graph
 from tessera.session import table
 
@@ -60,6 +61,21 @@ def vec_pq(spark: SparkSession, d: str) -> DataFrame:
     return out.agg((F.avg(F.pow(V.euclidean(F.col("embedding"), F.col("approx")), 2)) / F.avg(F.pow(V.norm(F.col("embedding")), 2))).alias("error_share"))
 
 
+def vec_lsh(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of random-projection hashing over the stated queries, against brute force."""
+    e = table(spark, d, "embeddings")
+    queries = e.where("vec_id % 100 = 0")
+    exact = V.nearest_of_each(queries, e, 10, "euclidean")
+    found = V.lsh_nearest(queries, e, 10)
+    n = exact.agg(F.count(F.lit(1)).alias("n"))
+    return exact.join(found, ["query_id", "vec_id"]).agg(F.count(F.lit(1)).alias("hits")).crossJoin(n).select((F.col("hits") / F.col("n")).alias("recall"))  # two single rows
+
+
+def match_against(spark: SparkSession, d: str) -> DataFrame:
+    i = T.inverted_index(table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text")))
+    return T.keyword_scores(i, ["red", "gear"]).select("doc_id", F.round("score", 6).alias("score"))
+
+
 def text_terms(spark: SparkSession, d: str) -> DataFrame:
     i = T.inverted_index(table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text")))
     return i.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
@@ -149,6 +165,28 @@ def graph_project(spark: SparkSession, d: str) -> DataFrame:
     return p.nodes.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(p.edges.agg(F.count(F.lit(1)).alias("edges")))  # two single rows
 
 
+CYPHER = {
+    "cypher_match": "MATCH (s:Supplier)-[:LOCATED]->(n:Nation {name: 'NATION_7'}) RETURN id(s) AS s, n.name AS nation",
+    "cypher_hops": "MATCH (s:Supplier)-[:LOCATED]->(n)-[r:TRADES]->(m:Nation) WHERE m.name <> 'NATION_3' RETURN DISTINCT n.name AS a, m.name AS b, type(r) AS how",
+    "cypher_optional": "MATCH (n:Nation) OPTIONAL MATCH (n)<-[:LOCATED]-(s:Supplier) RETURN n.name AS nation, count(s) AS suppliers",
+    "cypher_with": "MATCH (s:Supplier)-[:LOCATED]->(n) WITH n.name AS nation, count(*) AS c WHERE c > 3 RETURN nation, c ORDER BY c DESC, nation SKIP 1 LIMIT 5",
+    "cypher_union": "MATCH (n:Nation {name: 'NATION_1'})-[:TRADES]-(m) RETURN m.name AS x UNION MATCH (n:Nation {name: 'NATION_2'})-[:TRADES]-(m) RETURN m.name AS x",
+}
+
+
+def _cypher(text: str):
+    return lambda spark, d: cypher(_graph(spark, d), text)
+
+
+_NAMED = "e AS (SELECT s_name AS src, 'NATION_' || s_nationkey AS dst, 'LOCATED' AS type, 's' || s_suppkey AS id FROM supplier UNION ALL SELECT 'NATION_' || n_nationkey, 'NATION_' || ((n_nationkey * 2 + 1) % 25), 'TRADES', 'n' || n_nationkey FROM nation)"
+_CYPHER_SQL = {
+    "cypher_match": "SELECT 's' || s_suppkey AS s, 'NATION_7' AS nation FROM supplier WHERE s_nationkey = 7",
+    "cypher_hops": f"WITH {_NAMED} SELECT DISTINCT a.dst AS a, b.dst AS b, b.type AS how FROM e a JOIN e b ON a.dst = b.src AND a.type = 'LOCATED' AND b.type = 'TRADES' WHERE b.dst <> 'NATION_3'",
+    "cypher_optional": "SELECT n_name AS nation, count(s_suppkey) AS suppliers FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name",
+    "cypher_with": "SELECT 'NATION_' || s_nationkey AS nation, count(*) AS c FROM supplier GROUP BY s_nationkey HAVING count(*) > 3 ORDER BY c DESC, nation LIMIT 5 OFFSET 1",
+    "cypher_union": f"WITH {_NAMED} SELECT dst AS x FROM e WHERE type = 'TRADES' AND src IN ('NATION_1', 'NATION_2') UNION SELECT src FROM e WHERE type = 'TRADES' AND dst IN ('NATION_1', 'NATION_2')",
+}
+
 _EDGES = "e AS (SELECT 's' || s_suppkey AS src, 'n' || s_nationkey AS dst, 'LOCATED' AS type FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'n' || ((n_nationkey * 2 + 1) % 25), 'TRADES' FROM nation)"
 _BFS = "WITH RECURSIVE w(id, depth) AS (SELECT 'n1', 0::BIGINT UNION SELECT 'n' || ((CAST(substr(id, 2) AS INT) * 2 + 1) % 25), depth + 1 FROM w WHERE depth < 3) SELECT id, min(depth) AS depth FROM w GROUP BY id"
 
@@ -178,6 +216,8 @@ DEFS = {f"vec_flat_{m}": (_knn(m), f"WITH {_VQ} SELECT vec_id, round(s, 5) AS sc
     "vec_each": (vec_each, f"WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0) SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY {_DIST['cosine']} DESC, vec_id) AS rank FROM embeddings, q WHERE vec_id <> query_id QUALIFY rank <= 3"),
     "vec_ivf_recall": (vec_ivf, None),
     "vec_pq_error": (vec_pq, None),
+    "vec_lsh_recall": (vec_lsh, None),
+    "text_match_against": (match_against, "WITH w AS (SELECT p_partkey AS doc_id, unnest(regexp_split_to_array(lower(p_name), '[^a-z0-9]+')) AS term FROM part), tf AS (SELECT term, doc_id, count(*) AS tf FROM w WHERE length(term) > 1 GROUP BY ALL), n AS (SELECT count(DISTINCT doc_id) AS n FROM tf), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term) SELECT doc_id, round(sum(tf * ln(1 + n / df)), 6) AS score FROM tf JOIN df USING (term), n WHERE term IN ('red', 'gear') GROUP BY doc_id"),
     "text_terms": (text_terms, "WITH w AS (SELECT p_partkey, unnest(regexp_split_to_array(lower(p_name), '[^a-z0-9]+')) AS term FROM part) SELECT term, count(*) AS tf, count(DISTINCT p_partkey) AS df FROM w WHERE length(term) > 1 GROUP BY term"),
     "text_index_search": (text_search, "SELECT p_partkey AS doc_id FROM part WHERE list_contains(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), 'red') AND list_contains(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), 'widget')"),
     "text_fuzzy": (text_fuzzy, "WITH w AS (SELECT DISTINCT p_partkey AS doc_id, unnest(regexp_split_to_array(lower(p_name), '[^a-z0-9]+')) AS term FROM part), q AS (SELECT unnest(['rad', 'widgett']) AS t) SELECT doc_id, count(DISTINCT t) AS score FROM w, q WHERE length(term) > 1 AND levenshtein(term, t) <= 1 GROUP BY doc_id"),
@@ -199,5 +239,7 @@ DEFS = {f"vec_flat_{m}": (_knn(m), f"WITH {_VQ} SELECT vec_id, round(s, 5) AS sc
     "haversine": (haversine, "SELECT n_nationkey, round(2 * 6371000.0::DOUBLE * asin(sqrt(sin(radians(48.0 - n_nationkey * 1.5) / 2) ** 2 + cos(radians(n_nationkey * 1.5)) * cos(radians(48.0)) * sin(radians(11.0 - n_nationkey * 2.5) / 2) ** 2)), 3) AS metres FROM nation"),
 }
 
+DEFS |= {k: (_cypher(t), _CYPHER_SQL[k]) for k, t in CYPHER.items()}
+
 QUERIES = {k: f for k, (f, _) in DEFS.items()}
 ORACLES = {k: s for k, (_, s) in DEFS.items() if s}
