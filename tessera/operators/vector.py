@@ -49,6 +49,15 @@ def nearest(vectors: DataFrame, query: list[float], k: int, metric: str = "cosin
     return rows.select(F.col(id_col), similarity(metric, F.col(vec), q).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
+def nearest_sharded(vectors: DataFrame, query: list[float], k: int, shards: int, metric: str = "cosine", id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """Exact search over shards by hash of the id: each keeps its k nearest, which are then merged."""
+    q = F.array(*[F.lit(float(x)) for x in query])
+    scored = vectors.select(id_col, F.pmod(F.xxhash64(id_col), F.lit(shards)).alias("shard"), similarity(metric, F.col(vec), q).alias("score"))
+    w = Window.partitionBy("shard").orderBy(F.desc("score"), id_col)
+    best = scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+    return best.select(id_col, "score").orderBy(F.desc("score"), id_col).limit(k)
+
+
 def nearest_of_each(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """query_id, id, score, rank for every query row against all vectors. The queries are a stated set, read in blocks; keep their number bounded."""
     q = queries.select(F.col(id_col).alias("query_id"), F.col(vec).alias("_q"))
@@ -97,6 +106,16 @@ class IvfIndex:
     def search(self, query: list[float], k: int, metric: str = "cosine", share: float = 0.1) -> DataFrame:
         return nearest(self.index, query, k, metric, self.id_col, self.vec, F.col("list").isin(self.probes(query, share)))
 
+    def search_each(self, queries: DataFrame, k: int, metric: str = "cosine", share: float = 0.1) -> DataFrame:
+        """query_id, id, score and rank for every query row: a join on the lists nearest to each query, other than with itself."""
+        n = max(1, int(np.ceil(share * len(self.centres))))
+        gaps = F.array(*[F.struct(_gap(F.col(self.vec), F.array(*[F.lit(float(x)) for x in c]), lambda d: d * d).alias("d"), F.lit(i).alias("list")) for i, c in enumerate(self.centres)])
+        near = F.transform(F.slice(F.array_sort(gaps), 1, n), lambda g: g["list"])
+        q = queries.where(F.col(self.vec).isNotNull()).select(F.col(self.id_col).alias("query_id"), F.col(self.vec).alias("_q"), F.explode(near).alias("list"))
+        hits = self.index.join(q, "list").where(F.col(self.id_col) != F.col("query_id")).select("query_id", self.id_col, similarity(metric, F.col(self.vec), F.col("_q")).alias("score"))
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), self.id_col)
+        return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
     def save(self, path: str) -> None:
         """Partitioned by list, so that a search prunes files."""
         self.index.write.mode("overwrite").partitionBy("list").parquet(path)

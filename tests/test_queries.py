@@ -6,7 +6,7 @@ import pytest
 from compare import compare, duck
 
 D = "/root/testdata/sf0.001"
-MODULES = [importlib.import_module(f"tessera.plans.{m}") for m in ("tpch", "relational", "scalars", "changes", "retrieval", "data_quality")]
+MODULES = [importlib.import_module(f"tessera.plans.{m}") for m in ("tpch", "relational", "scalars", "changes", "extras", "retrieval", "data_quality")]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
 
