@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -58,12 +62,59 @@ def nearest_sharded(vectors: DataFrame, query: list[float], k: int, shards: int,
     return best.select(id_col, "score").orderBy(F.desc("score"), id_col).limit(k)
 
 
+QUERIES_AT_ONCE = 2048  # query vectors that travel to the tasks together
+
+
+def _scores(metric: str, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Similarity of each query (row of the result) with each vector (column)."""
+    if metric in ("cosine", "dot"):
+        d = q @ rows.T
+        if metric == "dot":
+            return d
+        n = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(rows, axis=1)[None, :]
+        return np.divide(d, n, out=np.zeros_like(d), where=n > 0)
+    p = 2 if metric == "euclidean" else 1
+    return np.stack([1 / (1 + np.linalg.norm(rows - x, ord=p, axis=1)) for x in q])
+
+
 def nearest_of_each(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """query_id, id, score, rank for every query row against all vectors. The queries are a stated set, read in blocks; keep their number bounded."""
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vec).alias("_q"))
-    scored = vectors.select(id_col, vec).join(F.broadcast(q) if q.limit(4097).count() <= 4096 else q, F.col(id_col) != F.col("query_id"))
+    """query_id, id, score and rank (1 to k) for every query row against all other vectors, exactly; ties go to the smaller id.
+
+    Queries go in blocks of QUERIES_AT_ONCE; a task multiplies a block with each batch of vectors and keeps k a query.
+    Null vectors and vectors of another length than the query's are left out.
+    """
+    spark = vectors.sparkSession
+    qs = queries.where(F.col(vec).isNotNull()).select(F.col(id_col).cast("bigint"), vec)
+    blocks = max(1, -(-qs.count() // QUERIES_AT_ONCE))
+    out = None
+    for i in range(blocks):
+        part = qs if blocks == 1 else qs.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == i)
+        rows = part.collect()  # one block
+        by_length: dict[int, list] = {}
+        for r in rows:
+            by_length.setdefault(len(r[1]), []).append((r[0], r[1]))
+        block = spark.sparkContext.broadcast({n: (np.array([x[0] for x in g], np.int64), np.array([x[1] for x in g], float)) for n, g in by_length.items()})
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids, values = b.column(0).to_numpy(), b.column(1)
+                lengths = np.array([-1 if x is None else x for x in pc.list_value_length(values).to_pylist()])
+                for n, (qid, q) in block.value.items():
+                    at = np.flatnonzero(lengths == n)
+                    if not len(at):
+                        continue
+                    mine = np.array(values.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False), float).reshape(len(at), n)
+                    s = _scores(metric, mine, q)
+                    s[qid[:, None] == ids[at][None, :]] = -np.inf
+                    order = np.lexsort((np.broadcast_to(ids[at], s.shape), -s), axis=1)[:, :k]
+                    best = np.take_along_axis(s, order, axis=1)
+                    keep = np.isfinite(best).ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, order.shape[1])[keep]), pa.array(ids[at][order].ravel()[keep]), pa.array(best.ravel()[keep])], names=["query_id", id_col, "score"])
+
+        found = vectors.where(F.col(vec).isNotNull()).select(F.col(id_col).cast("bigint"), vec).mapInArrow(run, f"query_id bigint, `{id_col}` bigint, score double")
+        out = found if out is None else out.unionByName(found)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
-    return scored.select("query_id", id_col, similarity(metric, F.col(vec), F.col("_q")).alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def lsh_nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding", tables: int = 8, width: float | None = None, seed: int = 1) -> DataFrame:
