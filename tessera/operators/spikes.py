@@ -38,6 +38,7 @@ class Rules:
     stuck: int = 10
     spike: int = 4
     fence: float = 6.0
+    least: int = 20  # readings from which a source's scatter is known well enough to tell spikes
     context: int = 5  # readings on each side that tell the course
     resting: float = 0.4  # share of equal neighbours from which a metric is said to rest
 
@@ -102,12 +103,18 @@ def deviations(x: np.ndarray, seg: np.ndarray) -> np.ndarray:
     return x - (a[:, 0] + a[:, 1]) / 2
 
 
-def _median(a: np.ndarray) -> np.ndarray:
+def _middle(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lower and the upper median of each row without its NaN; they differ where the count is even."""
     s = np.sort(a, axis=1)  # NaN last
     n = np.isfinite(a).sum(axis=1)
     r = np.arange(len(a))
     lo, hi = s[r, np.maximum((n - 1) // 2, 0)], s[r, np.minimum(n // 2, a.shape[1] - 1)]
-    return np.where(n > 0, (lo + hi) / 2, np.nan)
+    return np.where(n > 0, lo, np.nan), np.where(n > 0, hi, np.nan)
+
+
+def _median(a: np.ndarray) -> np.ndarray:
+    lo, hi = _middle(a)
+    return (lo + hi) / 2
 
 
 def _slope(before: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -117,12 +124,13 @@ def _slope(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return np.nan_to_num(_median(np.hstack([(w[:, j] - w[:, i]) / (j - i) for w in (before, after)])))
 
 
-def excursions(x: np.ndarray, seg: np.ndarray, scatter: np.ndarray, rules: Rules, course: np.ndarray | None = None) -> np.ndarray:
+def excursions(x: np.ndarray, seg: np.ndarray, scatter: np.ndarray, rules: Rules, course: np.ndarray | None = None, apart: float = 0.2) -> np.ndarray:
     """For each reading, by how many scatters it lies outside the course on both sides of a short excursion (0: in none).
 
     An excursion is 1 to rules.spike successive readings that all lie on one side of the lines carried on from the
-    readings before and from those after, where these two lines, level or with the slope around, agree. course is x
-    without readings that do not belong to the course.
+    readings before and from those after, where these two lines, level or with the slope around, agree: they are apart
+    by no more than three scatters or the share `apart` of the excursion. course is x without readings that do not
+    belong to the course.
     """
     course = x if course is None else course
     p, n, best = rules.context, len(x), np.zeros(len(x))
@@ -133,13 +141,13 @@ def excursions(x: np.ndarray, seg: np.ndarray, scatter: np.ndarray, rules: Rules
         enough = (np.isfinite(before).sum(axis=1) >= 2) & (np.isfinite(after).sum(axis=1) >= 2)
         z = np.zeros(n)
         for slope in (np.zeros(n), _slope(before, after)):
-            b = _median(before - slope[:, None] * -steps[::-1])
-            a = _median(after - slope[:, None] * (length - 1 + steps))
+            b = _middle(before - slope[:, None] * -steps[::-1])
+            a = _middle(after - slope[:, None] * (length - 1 + steps))
             rest = inside - slope[:, None] * np.arange(length)
-            high, low = np.maximum(a, b)[:, None], np.minimum(a, b)[:, None]
+            high, low = np.maximum(a[1], b[1]), np.minimum(a[0], b[0])
             with np.errstate(all="ignore"):
-                size = np.maximum((rest - high).min(axis=1), (low - rest).min(axis=1))
-                agree = np.abs(a - b) <= np.maximum(3 * scatter, 0.2 * size)
+                size = np.maximum((rest - high[:, None]).min(axis=1), (low[:, None] - rest).min(axis=1))
+                agree = high - low <= np.maximum(3 * scatter, apart * size)
                 z = np.maximum(z, np.where(enough & agree & np.isfinite(size) & (scatter > 0), size / scatter, 0.0))
         for k in range(min(length, n)):
             best[k:] = np.maximum(best[k:], z[: n - k])
@@ -233,7 +241,7 @@ def implausible_readings(df: DataFrame, source: str, at: str, sample_id: str, me
     of neighbours, or of those outside stuck stretches, are equal). Spike: see excursions(), beyond rules.fence
     scatters of the source. A null is never a case and is passed over; repeated rows of a sample id (same source and
     time) count once; rows of a null source form one source; rows without a time come first in theirs. Sources of
-    fewer than three readings have no spikes. Extra columns are ignored.
+    fewer than rules.least readings have no spikes. Extra columns are ignored.
     """
     laid = lay_out(df, source, at, sample_id, metrics, piece_rows, halo_rows)
     profile = profiles(sketches(laid, metrics, rules))
@@ -257,6 +265,7 @@ def implausible_readings(df: DataFrame, source: str, at: str, sample_id: str, me
                 scatter, equal, long, pairs = np.nan_to_num(heads[:, 4 * i : 4 * i + 4]).T
                 moving = (equal < rules.resting * pairs) | (pairs == 0)
                 moving &= (equal - long) < rules.resting * np.maximum(pairs - long, 1)
+                scatter = np.where(pairs + 1 < rules.least, 0.0, scatter)
                 x, bad = laid_.readings(m.name, m.zero_ok)
                 there = laid_.t[f"{m.name}_there"].to_numpy(bool)
                 moves = moving[which]
@@ -265,7 +274,7 @@ def implausible_readings(df: DataFrame, source: str, at: str, sample_id: str, me
                 y, seg, sc = x[v], laid_.seg[v], scatter[which[v]]
                 course = np.where(stuck[v], np.nan, y)
                 first = excursions(course, seg, sc, rules)
-                z = excursions(y, seg, sc, rules, np.where(first > rules.fence, np.nan, course))
+                z = excursions(y, seg, sc, rules, np.where(first > rules.fence, np.nan, course), apart=0.5)
                 spike = np.zeros(len(x), bool)
                 spike[v] = (z > rules.fence) & moves[v]
                 for what, hit in (("impossible", bad), ("stuck", stuck), ("spike", spike & ~stuck)):
