@@ -79,7 +79,7 @@ def chunks(docs: DataFrame, size: int = 500, id_col: str = "doc_id", text: str =
 
     Paragraphs end at blank lines; one longer than `size` is a chunk of its own. section_name is the last heading (#) so far.
     """
-    paras = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\n\s*\n"), lambda p: F.length(F.trim(p)) > 0)
+    paras = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\n\s*\n"), lambda p: p.rlike(r"\S"))
 
     def step(acc, p):
         fits = (F.length(acc["now"]) == 0) | (F.length(acc["now"]) + 2 + F.length(p) <= size)

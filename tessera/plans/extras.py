@@ -13,6 +13,7 @@ from tessera.operators import dml
 from tessera.operators import schema as SC
 from tessera.operators import vector as V
 from tessera.plans.changes import scratch
+from tessera.plans.retrieval import _DIST, _VQ
 from tessera.session import table
 from tessera.sources import catalog, corpus
 
@@ -121,7 +122,7 @@ DEFS = {
     "dml_returning": (dml_returning, "SELECT r_regionkey + 100 AS r_regionkey, upper(r_name) AS loud FROM region"),
     "sequence_values": (sequence_values, "SELECT s_suppkey, 1000 + 10 * (row_number() OVER (ORDER BY s_suppkey) - 1) AS nextval FROM supplier"),
     "generated_column": (generated_column, "SELECT l_orderkey, l_linenumber, l_extendedprice / l_quantity AS unit FROM lineitem"),
-    "vec_sharded": (vec_sharded, None),
+    "vec_sharded": (vec_sharded, f"WITH {_VQ} SELECT vec_id, round(s, 5) AS score FROM (SELECT vec_id, {_DIST['cosine']} AS s FROM embeddings, q) ORDER BY s DESC, vec_id LIMIT 10"),
     "corpus_ingest": (corpus_ingest, None),
 }
 

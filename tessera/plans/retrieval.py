@@ -219,7 +219,7 @@ DEFS = {f"vec_flat_{m}": (_knn(m), f"WITH {_VQ} SELECT vec_id, round(s, 5) AS sc
     "text_fuzzy": (text_fuzzy, "WITH w AS (SELECT DISTINCT p_partkey AS doc_id, unnest(regexp_split_to_array(lower(p_name), '[^a-z0-9]+')) AS term FROM part), q AS (SELECT unnest(['rad', 'widgett']) AS t) SELECT doc_id, count(DISTINCT t) AS score FROM w, q WHERE length(term) > 1 AND levenshtein(term, t) <= 1 GROUP BY doc_id"),
     "hybrid_rrf": (hybrid_rrf, "SELECT c_custkey AS doc_id, round(1.0::DOUBLE / (60 + row_number() OVER (ORDER BY c_acctbal DESC, c_custkey)) + 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY c_custkey)), 9) AS score FROM customer"),
     "hybrid_weighted": (hybrid_weighted, "SELECT c_custkey AS doc_id, round(c_acctbal * 0.5::DOUBLE + CASE WHEN c_custkey % 2 = 0 THEN c_acctbal * 0.3::DOUBLE ELSE 0 END + CASE WHEN c_custkey % 3 = 0 THEN c_acctbal * 0.2::DOUBLE ELSE 0 END, 6) AS score FROM customer"),
-    "text_chunks": (text_chunks, None),
+    "text_chunks": (text_chunks, r"SELECT doc_id, CAST(length(regexp_replace(text, '\s+', '', 'g')) AS BIGINT) AS signs, true AS sound FROM documents WHERE length(regexp_replace(text, '\s+', '', 'g')) > 0"),
     "text_evidence": (text_evidence, None),
     "text_hash_embedding": (text_hash_embedding, "SELECT p_partkey, 1.0::DOUBLE AS norm FROM part"),
     "doc_versions": (doc_versions, "SELECT doc_id, row_number() OVER (PARTITION BY doc_number ORDER BY version_number) AS version FROM documents"),
