@@ -89,3 +89,39 @@ def test_cjk_terms(spark):
 def test_spatial_bad_input(spark):
     row = spark.range(1).select(SP.parse_polygon(F.lit("POLYGON((0 0, x 1))")).isNull(), SP.st_within(SP.parse_point(F.lit("bad")), SP.parse_polygon(F.lit("POLYGON((0 0, 1 0, 1 1))"))).isNull()).first()
     assert tuple(row) == (True, True)
+
+
+def test_cypher_refuses_what_it_cannot_do(spark):
+    from tessera.operators.cypher import cypher
+    from tessera.operators.graph import Graph
+
+    nodes = spark.createDataFrame([("a", ["P"], {"age": "9"}), ("b", ["P"], {"age": "10"}), ("c", ["Q"], {})], "id string, labels array<string>, props map<string,string>")
+    edges = spark.createDataFrame([("a", "b", "KNOWS", {}), ("b", "c", "KNOWS", {})], "src string, dst string, type string, props map<string,string>")
+    g = Graph(nodes, edges)
+    for text in ("CREATE (n)", "MATCH (a)-[:KNOWS*1..3]->(b) RETURN b", "MATCH (a)", "MATCH a RETURN a"):
+        with pytest.raises(ValueError):
+            cypher(g, text)
+    assert [r[0] for r in cypher(g, "MATCH (n:P) WHERE n.age > 9 RETURN id(n) AS id").collect()] == ["b"]  # as numbers
+    assert [tuple(r) for r in cypher(g, "MATCH (x)-->(y)-->(z) RETURN id(x) AS x, id(z) AS z").collect()] == [("a", "c")]
+    assert cypher(g, "MATCH (n {age: '9'}) RETURN count(*) AS n").first()[0] == 1
+    assert {(r["id"], r["depth"]) for r in g.bfs(["a"], 5, "out").collect()} == {("a", 0), ("b", 1), ("c", 2)}
+
+
+def test_search_of_many_queries_keeps_ties_and_lengths(spark):
+    df = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(12)] + [(50, [1.0]), (51, None)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in V.nearest_of_each(df.where("vec_id in (0, 50, 51)"), df, 3, "euclidean").orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {0: [3, 6, 9]}
+
+
+def test_schema_changes(spark):
+    from tessera.operators import schema as SC
+
+    df = spark.range(5)
+    with pytest.raises(ValueError):
+        SC.add_column(df, "id", "int")
+    with pytest.raises(ValueError):
+        SC.drop_column(df, "x")
+    got = SC.number_rows(df, "id", 10, 5).orderBy("id").collect()
+    assert [r["nextval"] for r in got] == [10, 15, 20, 25, 30]
