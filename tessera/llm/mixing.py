@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut_lineage
+
 DOCS_PER_BLOCK = 4096
 
 
@@ -70,7 +72,7 @@ def plan_mixes(sized: DataFrame, targets: DataFrame) -> DataFrame:
     the tokens of all records, those of a null source included. A source without records has 0 tokens and falls short
     of any share above 0. draw is what budget and limit allow; exponent is null if not even the sources as they are fit.
     """
-    sizes = source_sizes(sized)
+    sizes = cut_lineage(source_sizes(sized))  # a row per source, read twice below: the records are counted once
     rows = targets.select("mix_id", "source", F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("target_share"), "max_repeats", F.coalesce("size_ratio", F.lit(0.0)).alias("size_ratio")).where("mix_id IS NOT NULL AND source IS NOT NULL").distinct()
     total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
     joined = rows.join(sizes, "source", "left").fillna(0, ["tokens", "docs"]).crossJoin(F.broadcast(total))  # one row
