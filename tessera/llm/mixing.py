@@ -3,8 +3,10 @@
 The shares of a mix come from its sources' token shares by exponents: w(t) is in proportion to target**(1-t) * share**t,
 so t = 0 asks for the targets and t = 1 for the sources as they are; the least t at which no source would have to repeat
 more often than allowed is found by bisection. A mix whose t is above 0 has sources that fall short at their targets.
-With no targets, shares**a is used, and a is bisected to an entropy. Weights become records by budgets: whole passes over
-a source, then one further pass over permuted blocks of records until the rest of the budget is used.
+With no targets, shares**a is used, and a is bisected to an entropy; limits move it towards the sources as they are in
+the same way. Weights become records by budgets: whole passes over a source, then one further pass over permuted blocks
+of records until the rest of the budget is used. Where no t is within the limits, each source is drawn as far as its
+limit allows, and the mix is smaller than asked.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from tessera.session import cut_lineage
 
 DOCS_PER_BLOCK = 4096
+EVENNESS = 0.95  # entropy of a mix without targets, as a share of the greatest (all its sources alike)
 
 
 def entropy(w: np.ndarray) -> float:
@@ -63,22 +66,26 @@ def source_sizes(sized: DataFrame) -> DataFrame:
     return sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
 
 
-def plan_mixes(sized: DataFrame, targets: DataFrame) -> DataFrame:
+def plan_mixes(sized: DataFrame, targets: DataFrame, evenness: float = EVENNESS) -> DataFrame:
     """For each mix and source: tokens, docs, share (scaled target), budget, allowed (tokens at the repetition limit; null: none), short, draw, actual_share, exponent and tempered_share.
 
     sized has source and n_tokens of every record; targets has mix_id, source, target_share, max_repeats (null: no
     limit) and size_ratio. Repeated target rows count once; rows with a null or negative share count as 0, those
     without a mix or source are left out, and shares are scaled to add up to 1. The size of a mix is size_ratio times
     the tokens of all records, those of a null source included. A source without records has 0 tokens and falls short
-    of any share above 0. draw is what budget and limit allow; exponent is null if not even the sources as they are fit.
+    of any share above 0. share, budget and short are of the targets. draw is tempered_share of the size of the mix at the
+    least exponent within the limits; exponent is null if not even the sources as they are fit, and draw is then what
+    budget and limit allow. A mix whose shares are all null has no targets: its weights are powers of the sources' token
+    shares with `evenness` of the greatest entropy, its exponent is that power, and no source of it is short.
     """
     sizes = cut_lineage(source_sizes(sized))  # a row per source, read twice below: the records are counted once
-    rows = targets.select("mix_id", "source", F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("target_share"), "max_repeats", F.coalesce("size_ratio", F.lit(0.0)).alias("size_ratio")).where("mix_id IS NOT NULL AND source IS NOT NULL").distinct()
+    rows = targets.select("mix_id", "source", F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("target_share"), F.col("target_share").isNotNull().alias("given"), "max_repeats", F.coalesce("size_ratio", F.lit(0.0)).alias("size_ratio")).where("mix_id IS NOT NULL AND source IS NOT NULL").distinct()
     total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
     joined = rows.join(sizes, "source", "left").fillna(0, ["tokens", "docs"]).crossJoin(F.broadcast(total))  # one row
 
     def mix(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["source", "target_share"]).reset_index(drop=True)
+        given = bool(pdf["given"].any())
+        pdf = pdf.drop(columns="given").drop_duplicates().sort_values(["source", "target_share"]).reset_index(drop=True)
         q = pdf["target_share"].to_numpy(float)
         q = q / q.sum() if q.sum() > 0 else q
         tokens = pdf["tokens"].to_numpy(float)
@@ -88,10 +95,17 @@ def plan_mixes(sized: DataFrame, targets: DataFrame) -> DataFrame:
             allowed = np.where(np.isinf(limit), np.where(tokens > 0, np.inf, 0.0), tokens * limit)
             most = np.where(size > 0, allowed / size, np.inf)
         budget = q * size
-        draw = np.minimum(budget, allowed)
-        p = tokens / tokens.sum() if tokens.sum() > 0 else tokens
-        t = exponent_within_limits(q, p, most)
-        return pdf.assign(share=q, budget=budget, allowed=np.where(np.isinf(allowed), np.nan, allowed), short=(allowed < budget), draw=draw, actual_share=draw / draw.sum() if draw.sum() > 0 else 0.0, exponent=np.nan if t is None else t, tempered_share=tempered(q, p, 1.0 if t is None else t))[[f.split()[0] for f in schema.split(", ")]]
+        p = tokens / pdf.groupby("source")["source"].transform("size").to_numpy()  # a source of several rows counts once
+        p = p / p.sum() if p.sum() > 0 else p
+        wanted, a = q, 0.0
+        if not given and p.sum() > 0:
+            a = exponent_for_entropy(p, evenness * np.log((p > 0).sum()))
+            wanted = tempered(np.where(p > 0, 1.0, 0.0), p**a, 1.0)
+        t = exponent_within_limits(wanted, p, most)
+        weights = tempered(wanted, p, 1.0 if t is None else t)
+        draw = np.minimum((wanted if t is None else weights) * size, allowed)
+        exponent = np.nan if t is None else a + t * (1 - a)  # (p**a)**(1-t) * p**t, with targets a is 0 and this is t
+        return pdf.assign(share=q, budget=budget, allowed=np.where(np.isinf(allowed), np.nan, allowed), short=(allowed < budget), draw=draw, actual_share=draw / draw.sum() if draw.sum() > 0 else 0.0, exponent=exponent, tempered_share=weights)[[f.split()[0] for f in schema.split(", ")]]
 
     schema = "mix_id string, source string, tokens bigint, docs bigint, share double, budget double, allowed double, short boolean, draw double, actual_share double, exponent double, tempered_share double"
     out = joined.groupBy("mix_id").applyInPandas(mix, schema)  # a mix has as many rows as it names sources

@@ -207,6 +207,30 @@ def test_mix(spark):
     assert [x["short"] for x in empty.collect()] == [False]
 
 
+def test_mix_is_drawn_at_its_exponent(spark):
+    docs = [(i, "big", 10) for i in range(900)] + [(1000 + i, "mid", 10) for i in range(300)] + [(2000 + i, "small", 10) for i in range(60)]
+    sized = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
+    targets = [("short", "big", 0.3, 2, 0.5), ("short", "mid", 0.3, 2, 0.5), ("short", "small", 0.4, 2, 0.5), ("short", "absent", 0.2, 2, 0.5)]
+    targets += [("free", s, None, None, 0.5) for s in ("big", "mid", "small", "absent")] + [("tight", s, None, 1, 0.8) for s in ("big", "mid", "small")]
+    targets += [("over", "small", 1.0, 1, 1.0), ("zero", "big", 0.0, None, 0.5), ("free", "big", None, None, 0.5)]
+    plan = plan_mixes(sized, spark.createDataFrame(targets, "mix_id string, source string, target_share double, max_repeats int, size_ratio double"))
+    by = defaultdict(dict)
+    for x in plan.collect():
+        by[x["mix_id"]][x["source"]] = x
+    assert {(m, s) for m in by for s, x in by[m].items() if x["short"]} == {("short", "small"), ("short", "absent"), ("over", "small")}
+    for m, size in (("short", 6300), ("free", 6300), ("tight", 10080)):  # the mix has the size asked for, within the limits
+        assert abs(sum(x["draw"] for x in by[m].values()) - size) < 1e-6 * size
+        assert all(x["allowed"] is None or x["draw"] <= x["allowed"] for x in by[m].values())
+        assert all(abs(x["actual_share"] - x["tempered_share"]) < 1e-9 for x in by[m].values())
+    assert 0 < by["short"]["big"]["exponent"] < 1 and abs(by["short"]["small"]["draw"] - 1200) < 1e-3
+    free = np.array([by["free"][s]["actual_share"] for s in ("big", "mid", "small")])
+    assert abs(entropy(free) - 0.95 * np.log(3)) < 1e-6 and free[0] > free[1] > free[2] and by["free"]["absent"]["draw"] == 0
+    assert abs(by["tight"]["small"]["draw"] - 600) < 1e-3 and by["free"]["big"]["exponent"] < by["tight"]["big"]["exponent"] < 1
+    assert by["over"]["small"]["exponent"] is None and by["over"]["small"]["draw"] == 600 and by["zero"]["big"]["draw"] == 0
+    got = {(x["mix_id"], x["source"]): x["drawn_tokens"] for x in drawn_shares(draw_records(sized, plan, docs_per_block=100)).collect()}
+    assert all(0 <= by[m][s]["draw"] - n < 11 for (m, s), n in got.items()) and {m for m, _ in got} == {"short", "free", "tight", "over"}
+
+
 # Subjects
 
 
