@@ -4,8 +4,9 @@ Two passes over readings that are laid out by source in order of time. The first
 the course around it to a log-bucket quantile sketch per source, metric and hour of day; sketches of partitions and
 hours are merged by adding counts, and give the interquartile range, i.e. the scatter that is usual in that source, and
 whether the metric rests. The second flags impossible readings, stuck stretches (no variance in a metric that otherwise
-moves) and spikes outside fences at an expanded interquartile range. A long source is cut into pieces of about
-PIECE_ROWS rows that share HALO_ROWS rows with their neighbours, so no source has to fit one task.
+moves) and spikes outside fences at an expanded interquartile range. A long source is cut by rank into pieces of
+PIECE_ROWS rows, and each also gets the HALO_ROWS possible readings of each metric before and after it, however far
+away they lie, so no source has to fit one task.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import cut_lineage
@@ -24,6 +25,7 @@ from tessera.session import cut_lineage
 PIECE_ROWS = 4096
 HALO_ROWS = 96
 BROADCAST_ROWS = 100_000  # long sources are broadcast up to so many, and joined beyond
+RANGE_ROWS, MOST_RANGES = 65_536, 2000  # rows of long sources are numbered in ranges of about so many, in at most so many ranges
 GAMMA = 1.02  # of the sketch: relative error of a quantile is below 1 %
 OFFSET = 6000  # bucket of a deviation of zero
 TINY = 1e-9  # deviations below this count as zero
@@ -43,18 +45,53 @@ class Rules:
     resting: float = 0.4  # share of equal neighbours from which a metric is said to rest
 
 
-def pieces(df: DataFrame, source: str, at: str, piece_rows: int = PIECE_ROWS, halo_rows: int = HALO_ROWS) -> DataFrame:
-    """df with `piece` and `core`: long sources are cut by time; rows near a cut also go to the neighbour, with core false."""
-    t = F.col(f"`{at}`").cast("timestamp").cast("double")
-    per = df.where(F.col(f"`{source}`").isNotNull()).groupBy(F.col(f"`{source}`").alias("long_source")).agg(F.count(F.lit(1)).alias("n"), F.min(t).alias("t0"), F.max(t).alias("t1"))
-    long = cut_lineage(per.where(F.col("n") > 2 * piece_rows).select("long_source", "t0", ((F.col("t1") - F.col("t0")) / F.col("n")).alias("step")))
-    if long.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        long = F.broadcast(long)
-    x = (t - F.col("t0")) / (F.col("step") * piece_rows)
-    own, h = F.floor(x), halo_rows / piece_rows
-    all_pieces = F.when(F.col("step") > 0, F.array_distinct(F.array(own, F.floor(x - h), F.floor(x + h)))).otherwise(F.array(F.lit(0).cast("bigint")))
-    out = df.join(long, df[source].eqNullSafe(F.col("long_source")), "left").withColumn("own", F.coalesce(F.when(F.col("step") > 0, own), F.lit(0).cast("bigint"))).withColumn("piece", F.explode(F.coalesce(all_pieces, F.array(F.lit(0).cast("bigint")))))
-    return out.withColumn("core", F.col("piece") == F.col("own")).drop("long_source", "t0", "step", "own")
+def pieces(df: DataFrame, metrics: list[Metric], piece_rows: int = PIECE_ROWS, halo_rows: int = HALO_ROWS) -> DataFrame:
+    """df (see lay_out) with `piece` and `core`: long sources are cut by rank; readings near a cut also go to other pieces, with core false.
+
+    Long sources lose their repeated rows. A piece with possible readings of a metric gets the halo_rows ones before
+    and after it, and of impossible readings between these the first of each stretch, which ends a stuck stretch. Rows
+    are numbered, and possible readings counted, within ranges of rows, to which the counts of earlier ranges are added.
+    """
+    columns = df.columns
+    long = cut_lineage(df.groupBy("source").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * piece_rows))
+    rows, sources = long.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    if not sources:
+        return df.withColumns({"piece": F.lit(0).cast("bigint"), "core": F.lit(True)})
+    names = F.broadcast(long.select("source")) if sources <= BROADCAST_ROWS else long.select("source")
+    short = df.join(names, "source", "left_anti").withColumns({"piece": F.lit(0).cast("bigint"), "core": F.lit(True)})
+    ranged = df.join(names, "source").repartitionByRange(min(MOST_RANGES, rows // RANGE_ROWS + 1), "source", "at", "sample_id")
+    ranged = cut_lineage(ranged.withColumn("_range", F.spark_partition_id()))
+
+    within = Window.partitionBy("_range", "source").orderBy("at", "sample_id")
+    counts = ["_rank", *[f"_upto_{i}" for i in range(len(metrics))]]
+    once = ranged.withColumn("_again", F.coalesce(F.col("sample_id") == F.lag("sample_id").over(within), F.lit(False))).where("NOT _again").drop("_again")
+    once = once.withColumns({f"_ok_{i}": F.col(f"`{m.name}_there`") & _possible(m) for i, m in enumerate(metrics)})
+    before = within.rowsBetween(Window.unboundedPreceding, -1)
+    ok_before = lambda i, m: F.coalesce(F.last(F.when(F.col(f"`{m.name}_there`"), F.col(f"_ok_{i}")), ignorenulls=True).over(before), F.lit(True))
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
+    once = once.withColumns({"_rank": F.count(F.lit(1)).over(upto)} | {f"_upto_{i}": F.sum(F.col(f"_ok_{i}").cast("bigint")).over(upto) for i in range(len(metrics))} | {f"_use_{i}": F.col(f"`{m.name}_there`") & (F.col(f"_ok_{i}") | ok_before(i, m)) for i, m in enumerate(metrics)})
+    per_range = once.groupBy("_range", "source").agg(*[F.max(c).alias(c) for c in counts])
+    earlier = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    per_range = per_range.select("_range", "source", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_earlier") for c in counts])
+    numbered = once.join(per_range, ["_range", "source"]).withColumns({c: F.col(c) + F.col(f"{c}_earlier") for c in counts}).drop(*[f"{c}_earlier" for c in counts])
+    numbered = cut_lineage(numbered.withColumn("piece", F.floor((F.col("_rank") - 1) / piece_rows)))
+
+    # What each piece needs: of metric i, rows whose count of possible readings lies from lo to hi.
+    ends = numbered.groupBy("source", F.col("piece").alias("to")).agg(*[x for i in range(len(metrics)) for x in (F.min(F.col(f"_upto_{i}") - F.col(f"_ok_{i}").cast("bigint")).alias(f"a_{i}"), F.max(f"_upto_{i}").alias(f"b_{i}"))])
+    side = lambda i, lo, hi: F.struct(F.lit(i).alias("i"), lo.alias("lo"), hi.alias("hi"), (F.col(f"a_{i}") < F.col(f"b_{i}")).alias("any"))
+    sides = [x for i in range(len(metrics)) for a, b in [(F.col(f"a_{i}"), F.col(f"b_{i}"))] for x in (side(i, a - halo_rows + 1, a), side(i, b, b + halo_rows))]
+    needs = ends.select("source", "to", F.inline(F.array(*sides))).where("any").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / halo_rows), F.floor(F.col("hi") / halo_rows))))
+    uses = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_upto_{i}").alias("upto"), F.col(f"_use_{i}").alias("use")) for i in range(len(metrics))])
+    offered = numbered.select(*columns, "_rank", "piece", F.inline(uses)).where("use").withColumn("bucket", F.floor(F.col("upto") / halo_rows))
+    halo = offered.join(needs, ["source", "i", "bucket"]).where("upto BETWEEN lo AND hi AND piece <> to").drop("piece").withColumnRenamed("to", "piece").dropDuplicates(["source", "piece", "_rank"])
+    cut = numbered.select(*columns, "piece", F.lit(True).alias("core")).unionByName(halo.select(*columns, "piece", F.lit(False).alias("core")))
+    return short.unionByName(cut_lineage(cut))
+
+
+def _possible(m: Metric) -> Column:
+    """Whether a reading that is there is not impossible, as in Laid.readings."""
+    x = F.col(f"`{m.name}`")
+    return F.coalesce(~F.isnan(x) & (x < float("inf")) & ((x >= 0) if m.zero_ok else (x > 0)) & (x <= F.coalesce(F.col(f"`{m.name}_most`"), F.lit(float("inf")))), F.lit(False))
 
 
 class Laid:
@@ -167,7 +204,7 @@ def lay_out(df: DataFrame, source: str, at: str, sample_id: str, metrics: list[M
     """The columns of df that the passes need, as source, piece, core, at, sample_id and for each metric its value, whether it is there, and its limit."""
     per = [c for m in metrics for c in (F.col(f"`{m.name}`").cast("double").alias(m.name), F.col(f"`{m.name}`").isNotNull().alias(f"{m.name}_there"), (F.expr(m.most) if m.most else F.lit(None)).cast("double").alias(f"{m.name}_most"))]
     slim = df.select(F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(NO_SOURCE)).alias("source"), F.col(f"`{at}`").cast("timestamp_ntz").alias("at"), F.col(f"`{sample_id}`").cast("bigint").alias("sample_id"), *per)
-    return pieces(slim, "source", "at", piece_rows, halo_rows)
+    return pieces(slim, metrics, piece_rows, halo_rows)
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], at_least: int = 20_000) -> Iterator[pd.DataFrame]:
@@ -243,6 +280,7 @@ def implausible_readings(df: DataFrame, source: str, at: str, sample_id: str, me
     time) count once; rows of a null source form one source; rows without a time come first in theirs. Sources of
     fewer than rules.least readings have no spikes. Extra columns are ignored.
     """
+    halo_rows = max(halo_rows, 2 * (rules.spike + rules.context) + rules.stuck)  # readings that a verdict depends on
     laid = lay_out(df, source, at, sample_id, metrics, piece_rows, halo_rows)
     profile = profiles(sketches(laid, metrics, rules))
     wide = profile.groupBy("source").agg(*[F.max(F.when(F.col("metric") == m.name, F.col(c).cast("double"))).alias(f"{c}_{i}") for i, m in enumerate(metrics) for c in ("scatter", "equal", "stuck_equal", "pairs")])

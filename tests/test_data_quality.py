@@ -137,6 +137,32 @@ def test_spikes(spark):
     assert readings(spark, runs, piece_rows=32, halo_rows=40) == want  # sources cut into pieces give the same
 
 
+def test_spikes_of_a_long_source_do_not_depend_on_its_pieces(spark, monkeypatch):
+    r = random.Random(11)
+    rows, t = [], T0
+    for i in range(2400):  # a reading each second, then one each two minutes; y is there in one of nine
+        t += timedelta(seconds=1 if i < 2000 else 120)
+        rows.append([i, "long", t, r.gauss(100, 2), r.gauss(50, 1) if i % 9 == 0 else None, r.gauss(20, 1) if i < 300 or i > 2300 else None])
+    for i in range(2005, 2390, 17):
+        for j in range(10):
+            rows[i + j][3] = rows[i][3]
+    for i in range(20, 2400, 31):
+        rows[i][3] = -1.0 if i % 2 else 160.0
+    for i in range(9 * 30, 9 * 40):
+        rows[i][4] = -1.0 if i % 9 == 0 else None
+    for i in range(9 * 8, 2400, 9 * 14):
+        rows[i][4] = 90.0
+    for i in range(9 * 100, 9 * 110, 9):
+        rows[i][4] = 50.0
+    rows[280][5], rows[297][5], rows[2303][5] = 90.0, 60.0, 70.0
+    rows += [x for x in rows[1500:1520] for _ in range(70)] + [[5000 + i, "other", T0 + timedelta(minutes=i), 5.0 + i % 3, None, None] for i in range(40)]
+    df = spark.createDataFrame(rows, "sample_id long, run string, ts timestamp_ntz, x double, y double, z double").repartition(5)
+    found = lambda **kw: sorted(map(tuple, implausible_readings(df, "run", "ts", "sample_id", [Metric("x"), Metric("y"), Metric("z")], **kw).collect()))
+    want = found(piece_rows=10**6)
+    monkeypatch.setattr("tessera.operators.spikes.RANGE_ROWS", 500, raising=False)
+    assert len({(m, w) for _, m, w in want}) >= 6 and found(piece_rows=64, halo_rows=28) == want
+
+
 @pytest.mark.parametrize("runs", [[], [[1.0]], [[None, None]], [[5.0, 5.0]]])
 def test_spikes_small(spark, runs):
     assert readings(spark, runs) == set()
