@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -117,6 +118,14 @@ def nearest_of_each(queries: DataFrame, vectors: DataFrame, k: int, metric: str
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def nearest_of_each_sharded(queries: DataFrame, vectors: DataFrame, k: int, shards: int, metric: str = "cosine", id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """As nearest_of_each over shards by hash of the id: each keeps k a query, which are then merged."""
+    of = lambda i: vectors.where(F.pmod(F.xxhash64(id_col), F.lit(shards)) == i)
+    found = [nearest_of_each(queries, of(i), k, metric, id_col, vec).drop("rank") for i in range(shards)]
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def lsh_nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding", tables: int = 8, width: float | None = None, seed: int = 1) -> DataFrame:
     """query_id and id of the k nearest of the rows that share a hash bucket with each query (euclidean).
 

@@ -39,6 +39,21 @@ def vec_each(spark: SparkSession, d: str) -> DataFrame:
     return V.nearest_of_each(e.where("vec_id % 100 = 0"), e, 3).select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"))
 
 
+def _each(k: int, metric: str = "cosine", where: str = "true", shards: int = 0):
+    """The stated queries (ids divisible by 100) by any metric, over labelled vectors, or over shards."""
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        e = table(spark, d, "embeddings")
+        queries, rows = e.where("vec_id % 100 = 0"), e.where(where)
+        found = V.nearest_of_each_sharded(queries, rows, k, shards, metric) if shards else V.nearest_of_each(queries, rows, k, metric)
+        return found.select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"))
+
+    return run
+
+
+def _each_sql(k: int, metric: str = "cosine", where: str = "true") -> str:
+    return f"WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0) SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY {_DIST[metric]} DESC, vec_id) AS rank FROM embeddings, q WHERE vec_id <> query_id AND {where} QUALIFY rank <= {k}"
+
+
 def vec_ivf(spark: SparkSession, d: str) -> DataFrame:
     """Recall of the inverted lists, four fifths of them read, over the stated queries (ids divisible by 100), against brute force."""
     e = table(spark, d, "embeddings")
@@ -210,6 +225,9 @@ def haversine(spark: SparkSession, d: str) -> DataFrame:
 DEFS = {f"vec_flat_{m}": (_knn(m), f"WITH {_VQ} SELECT vec_id, round(s, 5) AS score FROM (SELECT vec_id, {e} AS s FROM embeddings, q) ORDER BY s DESC, vec_id LIMIT 10") for m, e in _DIST.items()} | {
     "vec_filtered": (vec_filtered, f"WITH {_VQ} SELECT vec_id, round(s, 5) AS score FROM (SELECT vec_id, {_DIST['cosine']} AS s FROM embeddings, q WHERE label = 3) ORDER BY s DESC, vec_id LIMIT 5"),
     "vec_each": (vec_each, f"WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0) SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY {_DIST['cosine']} DESC, vec_id) AS rank FROM embeddings, q WHERE vec_id <> query_id QUALIFY rank <= 3"),
+    **{f"vec_each_{m}": (_each(10, m), _each_sql(10, m)) for m in _DIST if m != "cosine"},
+    "vec_each_filtered": (_each(5, where="label = 3"), _each_sql(5, where="label = 3")),
+    "vec_each_sharded": (_each(10, shards=8), _each_sql(10)),
     "vec_ivf_recall": (vec_ivf, None),
     "vec_pq_error": (vec_pq, None),
     "vec_lsh_recall": (vec_lsh, None),

@@ -125,3 +125,9 @@ def test_schema_changes(spark):
         SC.drop_column(df, "x")
     got = SC.number_rows(df, "id", 10, 5).orderBy("id").collect()
     assert [r["nextval"] for r in got] == [10, 15, 20, 25, 30]
+
+
+def test_stated_queries_are_searched_by_every_metric_filter_and_shard():
+    from tessera.plans import retrieval
+
+    assert {f"vec_each{x}" for x in ("", "_dot", "_euclidean", "_manhattan", "_filtered", "_sharded")} <= set(retrieval.QUERIES) & set(retrieval.ORACLES)
