@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.bpe import count_tokens, encode_texts
 from tessera.llm.mixing import draw_records, drawn_shares, plan_mixes
-from tessera.llm.percentiles import build_sketches, merge_sketches, percentiles
+from tessera.llm.percentiles import TINY, build_sketches, merge_sketches, percentiles
 from tessera.llm.subjects import assign_subjects
 from tessera.llm.topn import top_n
 from tessera.session import cut_lineage, table
@@ -30,11 +30,11 @@ def _prices(spark: SparkSession, d: str) -> DataFrame:
 
 def _totals(spark: SparkSession, d: str) -> DataFrame:
     once = table(spark, d, "oltp_orders").groupBy("o_id").agg(F.min(F.struct("o_loaded_at", "o_status", "o_total")).alias("r"))
-    return once.select(F.concat(F.lit("state "), F.lower(F.trim("r.o_status"))).alias("group_key"), F.col("r.o_total").alias("value"), F.col("r.o_loaded_at").alias("loaded"))
+    return once.select("o_id", F.concat(F.lit("state "), F.lower(F.trim("r.o_status"))).alias("group_key"), F.col("r.o_total").alias("value"), F.col("r.o_loaded_at").alias("loaded"))
 
 
 def _values(spark: SparkSession, d: str) -> DataFrame:
-    return _prices(spark, d).unionByName(_totals(spark, d))
+    return _prices(spark, d).unionByName(_totals(spark, d).drop("o_id"))
 
 
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -43,17 +43,38 @@ def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_merged_months(spark: SparkSession, d: str) -> DataFrame:
     """The same from one sketch for each group and month of loading, added up afterwards."""
-    month = F.date_format("loaded", "yyyy-MM")
-    monthly = build_sketches(_values(spark, d).withColumn("group_key", F.concat("group_key", F.lit("|"), month)))
-    return percentiles(merge_sketches(monthly.withColumn("group_key", F.substring_index("group_key", "|", 1))), QUANTILES)
+    monthly = build_sketches(_values(spark, d).withColumn("month", F.date_format("loaded", "yyyy-MM")), ("group_key", "month"))
+    return percentiles(merge_sketches(monthly), QUANTILES)
+
+
+def p2_months_agree(spark: SparkSession, d: str) -> DataFrame:
+    """Per group, whether months merged give the counts and percentiles of one pass over all rows."""
+    a, b = p2_merged_months(spark, d), p2_percentiles(spark, d)
+    same = lambda c: F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    alike = same("n")
+    for q in QUANTILES:
+        alike &= same(f"p{round(q * 100):02d}")
+    return a.alias("a").join(b.alias("b"), "group_key", "full").select("group_key", F.col("a.n").alias("n"), alike.alias("alike"))
+
+
+def p2_after_deletions(spark: SparkSession, d: str) -> DataFrame:
+    """Per state, how many orders are left, and whether their percentiles lie within the stated bounds, once the orders that key_deletions names as deleted have been subtracted from the sketches of all."""
+    gone = table(spark, d, "key_deletions").where("table_name = 'oltp_orders' AND restored_at IS NULL").select(F.col("key_id").alias("o_id")).distinct()
+    values = _totals(spark, d)
+    taken = values.join(gone, "o_id", "left_semi").withColumn("weight", F.lit(-1))
+    left = merge_sketches(build_sketches(values).unionByName(build_sketches(taken)))
+    return _within_bounds(values.join(gone, "o_id", "left_anti"), percentiles(left, QUANTILES))
 
 
 def p2_within_bounds(spark: SparkSession, d: str) -> DataFrame:
     """Per group, how many values it has, and whether the exact ranks of its estimates lie within the stated bounds."""
-    est = p2_percentiles(spark, d)
-    values = _values(spark, d).where("group_key IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)")
+    return _within_bounds(_values(spark, d), p2_percentiles(spark, d))
+
+
+def _within_bounds(values: DataFrame, est: DataFrame) -> DataFrame:
+    values = values.where("group_key IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)")
     named = [(q, f"p{round(q * 100):02d}") for q in QUANTILES]
-    slack = lambda c, s: F.col(c) + F.abs(F.col(c)) * s * 2.0**-13 + s * 1e-8
+    slack = lambda c, s: F.col(c) + s * (F.abs(F.col(c)) * 2.0**-14 + TINY)
     both = values.join(est, "group_key")
     counts = [x for q, p in named for x in (F.sum((F.col("value") <= slack(p, 1)).cast("bigint")).alias(f"le_{p}"), F.sum((F.col("value") < slack(p, -1)).cast("bigint")).alias(f"lt_{p}"))]
     per = both.groupBy("group_key").agg(F.count(F.lit(1)).alias("n"), F.first("n").alias("n_sketch"), F.first("rank_error").alias("rank_error"), *counts)
@@ -109,7 +130,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return per.crossJoin(F.broadcast(total)).select("subject", "documents", (F.col("documents") / F.col("total")).alias("share"))  # one row
 
 
-QUERIES = {"p2_percentiles": p2_percentiles, "p2_merged_months": p2_merged_months, "p2_within_bounds": p2_within_bounds, "p5_found": p5_found, "p7_ids": p7_ids, "p8_plan": p8_plan, "p8_found": p8_found, "p8_drawn_shares": p8_drawn_shares, "p9_found": p9_found, "p9_shares": p9_shares}
+QUERIES = {"p2_percentiles": p2_percentiles, "p2_merged_months": p2_merged_months, "p2_within_bounds": p2_within_bounds, "p2_months_agree": p2_months_agree, "p2_after_deletions": p2_after_deletions, "p5_found": p5_found, "p7_ids": p7_ids, "p8_plan": p8_plan, "p8_found": p8_found, "p8_drawn_shares": p8_drawn_shares, "p9_found": p9_found, "p9_shares": p9_shares}
 
 
 def _top(name: str, t: str, p: str, key: str) -> str:
@@ -118,10 +139,14 @@ def _top(name: str, t: str, p: str, key: str) -> str:
   FROM (SELECT DISTINCT {key}, {p}_nationkey, {p}_branch, {p}_acctbal FROM {t} WHERE {p}_nationkey IS NOT NULL AND {p}_branch IS NOT NULL AND {p}_acctbal IS NOT NULL AND NOT isnan({p}_acctbal))) WHERE rn <= 5"""
 
 
+_GROUPS = """SELECT DISTINCT oi_id, 'product ' || oi_product_id AS group_key, oi_unit_price AS value FROM order_items
+  UNION ALL SELECT DISTINCT o_id, 'state ' || lower(trim(o_status)), o_total FROM oltp_orders"""
+_COUNTED = "WHERE group_key IS NOT NULL AND value IS NOT NULL AND NOT isnan(value) GROUP BY 1"
+
 ORACLES = {
-    "p2_within_bounds": """SELECT group_key, count(*) AS n, true AS within_bounds FROM (
-  SELECT DISTINCT oi_id, 'product ' || oi_product_id AS group_key, oi_unit_price AS value FROM order_items
-  UNION ALL SELECT DISTINCT o_id, 'state ' || lower(trim(o_status)), o_total FROM oltp_orders)
-  WHERE group_key IS NOT NULL AND value IS NOT NULL AND NOT isnan(value) GROUP BY 1""",
+    "p2_within_bounds": f"SELECT group_key, count(*) AS n, true AS within_bounds FROM ({_GROUPS}) {_COUNTED}",
+    "p2_months_agree": f"SELECT group_key, count(*) AS n, true AS alike FROM ({_GROUPS}) {_COUNTED}",
+    "p2_after_deletions": f"""SELECT group_key, count(*) AS n, true AS within_bounds FROM (SELECT DISTINCT o_id, 'state ' || lower(trim(o_status)) AS group_key, o_total AS value FROM oltp_orders
+  WHERE o_id NOT IN (SELECT key_id FROM key_deletions WHERE table_name = 'oltp_orders' AND restored_at IS NULL)) {_COUNTED}""",
     "p5_found": _top("customer", "customer_primary", "c", "c_custkey") + " UNION ALL " + _top("supplier", "supplier_list", "s", "s_suppkey"),
 }

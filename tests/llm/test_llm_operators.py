@@ -71,7 +71,7 @@ def test_encode_table(spark, bpe):
 def exact_rank_error(values, q, estimate):
     """How far, as a share, the target rank is from those the estimate (with its rounding) may have."""
     v = np.sort(values)
-    slack = abs(estimate) * 2.0**-13 + 1e-8
+    slack = abs(estimate) * 2.0**-14 + 1e-9
     lo, hi = np.searchsorted(v, estimate - slack, "left") / len(v), np.searchsorted(v, estimate + slack, "right") / len(v)
     return max(0.0, lo - q, q - hi)
 
@@ -101,10 +101,9 @@ def test_sketches_merge_and_delete(spark):
     for g, v, _ in rows:
         groups[g].append(v)
     for g, n, err, p10, p50 in one:
-        assert n == len(groups[g]) and err == 0
+        assert n == len(groups[g]) and 0 < err < 0.1
         for q, p in ((0.1, p10), (0.5, p50)):
-            want = sorted(groups[g])[max(0, int(np.ceil(q * n)) - 1)]
-            assert abs(p - want) <= abs(want) * 2.0**-13 + 1e-8
+            assert exact_rank_error(groups[g], q, p) <= err
     gone = df.select("group_key", "value", F.lit(1).alias("weight")).union(df.where("day = 2").select("group_key", "value", F.lit(-1)))
     left = sorted(map(tuple, percentiles(build_sketches(gone), [0.5]).collect()))
     assert left == sorted(map(tuple, percentiles(build_sketches(df.where("day < 2")), [0.5]).collect()))
@@ -121,6 +120,31 @@ def test_dense_and_sparse_sketches_add_up():
     assert x.counters is not None and (y.counters == both.counters).all()
 
 
+def test_same_answer_in_either_form():
+    """A sketch whose updates wait and one that has been spread over its counters answer alike."""
+    rng = np.random.default_rng(9)
+    codes, counts = np.unique(rng.integers(0, 1 << 22, 20_000), return_counts=True)
+    waiting, spread = DyadicSketch(), DyadicSketch()
+    waiting.add(codes, counts)
+    spread.counters = waiting.spread()
+    q = np.linspace(0.01, 0.99, 25)
+    assert waiting.counters is None and (waiting.quantiles(q) == spread.quantiles(q)).all() and waiting.rank_error(q) == spread.rank_error(q) > 0
+    again = DyadicSketch.load(waiting.dump())
+    assert (again.updates()[0] == codes).all() and (again.updates()[1] == counts).all()
+
+
+def test_one_repeated_value_has_no_rank_error():
+    s = DyadicSketch()
+    s.add(np.array([3_000_000]), np.array([10**12]))
+    assert s.rank_error((0.01, 0.5)) == 0 and s.quantiles(np.array([0.5]))[0] == 3_000_000
+    assert DyadicSketch.load(s.dump()).n == 10**12
+
+
+def test_null_month_is_merged(spark):
+    df = spark.createDataFrame([("g|1", None, 1.0), ("g|1", "2024-01", 2.0), ("g|1", "2024-01", 3.0)], "group_key string, month string, value double")
+    assert percentiles(merge_sketches(build_sketches(df, ("group_key", "month"))), [0.5]).select("group_key", "n").collect() == [("g|1", 3)]
+
+
 def test_percentile_edges(spark):
     nan, inf = float("nan"), float("inf")
     df = spark.createDataFrame([("a", None), ("a", nan), (None, 1.0), ("b", inf), ("b", -inf), ("b", 0.0), ("c", 1e-12)], "group_key string, value double")
