@@ -4,14 +4,14 @@ The shares of a mix come from its sources' token shares by exponents: w(t) is in
 so t = 0 asks for the targets and t = 1 for the sources as they are; the least t at which no source would have to repeat
 more often than allowed is found by bisection. A mix whose t is above 0 has sources that fall short at their targets.
 With no targets, shares**a is used, and a is bisected to an entropy; limits move it towards the sources as they are in
-the same way. Weights become records by budgets: whole passes over a source, then one further pass over permuted blocks
-of records until the rest of the budget is used. Where no t is within the limits, each source is drawn as far as its
-limit allows, and the mix is smaller than asked.
+the same way. Where no t is within the limits, the sources as they are (t = 1) are drawn, those above their limits at
+these and the others the more: a mix is smaller than asked only where all its sources together are too small.
+Weights become records by budgets: whole passes over a source, then one further pass over permuted blocks of records
+until the rest of the budget is used.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -47,18 +47,34 @@ def tempered(target: np.ndarray, share: np.ndarray, t: float) -> np.ndarray:
     return w / w.sum() if w.sum() > 0 else w
 
 
-def exponent_within_limits(target: np.ndarray, share: np.ndarray, most: np.ndarray, steps: int = 60) -> float | None:
-    """The least t in [0, 1] at which no weight exceeds `most` (the share a source reaches at its limit); None if none."""
+def exponent_within_limits(target: np.ndarray, share: np.ndarray, most: np.ndarray, steps: int = 60, grid: int = 256) -> float | None:
+    """The least t in [0, 1], to within 1/grid, from which no weight exceeds `most` (the share a source reaches at its limit); None if there is none.
+
+    A weight may rise and fall again with t, so the first t of a grid that fits is looked for, and then bisected down.
+    """
     fits = lambda t: bool(np.all(tempered(target, share, t) <= most * (1 + 1e-12)))
-    if not fits(1.0):
-        return None
     if np.all(target <= most) and fits(0.0):
         return 0.0
-    lo, hi = 0.0, 1.0
+    hi = next((t for t in np.linspace(0, 1, grid + 1)[1:] if fits(t)), None)
+    if hi is None:
+        return None
+    lo = hi - 1 / grid
     for _ in range(steps):
         t = (lo + hi) / 2
         lo, hi = (lo, t) if fits(t) else (t, hi)
-    return hi
+    return float(hi)
+
+
+def filled(weights: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Weights with those above `most` cut to it and the rest scaled up to make good for it, as far as all limits allow."""
+    w, full = weights.copy(), np.zeros(len(weights), bool)
+    while True:
+        over = ~full & (w > most * (1 + 1e-12))
+        if not over.any():
+            return w
+        full |= over
+        free = np.where(full, 0.0, weights)
+        w = np.where(full, most, free / free.sum() * max(0.0, 1 - most[full].sum()) if free.sum() > 0 else 0.0)
 
 
 def source_sizes(sized: DataFrame) -> DataFrame:
@@ -74,8 +90,8 @@ def plan_mixes(sized: DataFrame, targets: DataFrame, evenness: float = EVENNESS)
     without a mix or source are left out, and shares are scaled to add up to 1. The size of a mix is size_ratio times
     the tokens of all records, those of a null source included. A source without records has 0 tokens and falls short
     of any share above 0. share, budget and short are of the targets. draw is tempered_share of the size of the mix at the
-    least exponent within the limits; exponent is null if not even the sources as they are fit, and draw is then what
-    budget and limit allow. A mix whose shares are all null has no targets: its weights are powers of the sources' token
+    least exponent within the limits; exponent is null if not even the sources as they are fit, and tempered_share then
+    is what these come to within the limits (see filled; less than 1 in all if all limits together do not suffice). A mix whose shares are all null has no targets: its weights are powers of the sources' token
     shares with `evenness` of the greatest entropy, its exponent is that power, and no source of it is short.
     """
     sizes = cut_lineage(source_sizes(sized))  # a row per source, read twice below: the records are counted once
@@ -102,8 +118,8 @@ def plan_mixes(sized: DataFrame, targets: DataFrame, evenness: float = EVENNESS)
             a = exponent_for_entropy(p, evenness * np.log((p > 0).sum()))
             wanted = tempered(np.where(p > 0, 1.0, 0.0), p**a, 1.0)
         t = exponent_within_limits(wanted, p, most)
-        weights = tempered(wanted, p, 1.0 if t is None else t)
-        draw = np.minimum((wanted if t is None else weights) * size, allowed)
+        weights = filled(tempered(wanted, p, 1.0), most) if t is None else tempered(wanted, p, t)
+        draw = np.minimum(weights * size, allowed)
         exponent = np.nan if t is None else a + t * (1 - a)  # (p**a)**(1-t) * p**t, with targets a is 0 and this is t
         return pdf.assign(share=q, budget=budget, allowed=np.where(np.isinf(allowed), np.nan, allowed), short=(allowed < budget), draw=draw, actual_share=draw / draw.sum() if draw.sum() > 0 else 0.0, exponent=exponent, tempered_share=weights)[[f.split()[0] for f in schema.split(", ")]]
 

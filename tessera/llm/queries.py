@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import count_tokens, encode_texts
+from tessera.llm.bpe import count_tokens, decode_ids, encode_texts
 from tessera.llm.mixing import draw_records, drawn_shares, plan_mixes
 from tessera.llm.percentiles import TINY, build_sketches, merge_sketches, percentiles
 from tessera.llm.subjects import assign_subjects
@@ -114,6 +114,34 @@ def p8_drawn_shares(spark: SparkSession, d: str) -> DataFrame:
     return drawn_shares(draw_records(sized, plan_mixes(sized, table(spark, d, "mix_targets"))))
 
 
+def p8_even(spark: SparkSession, d: str) -> DataFrame:
+    """All sources of the corpus mixed to an entropy: how many there are, and the mix's entropy as a share of the greatest."""
+    sized = cut_lineage(_sized(spark, d))
+    sources = sized.where("source IS NOT NULL").groupBy("source").agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0")
+    none = {"target_share": F.lit(None).cast("double"), "max_repeats": F.lit(None).cast("int"), "size_ratio": F.lit(1.0)}
+    plan = plan_mixes(sized, sources.select(F.lit("even").alias("mix_id"), "source", *[c.alias(k) for k, c in none.items()]))
+    h = F.sum(-F.col("actual_share") * F.log("actual_share"))
+    return plan.groupBy("mix_id").agg(F.count(F.lit(1)).alias("sources"), F.round(h / F.log(F.count(F.lit(1))), 6).alias("evenness"))
+
+
+def p8_realised(spark: SparkSession, d: str) -> DataFrame:
+    """Per mix and source with a share, whether the tokens drawn are those planned to within one record."""
+    sized = cut_lineage(_sized(spark, d))
+    plan = cut_lineage(plan_mixes(sized, table(spark, d, "mix_targets")))  # a row per mix and source
+    drawn = drawn_shares(draw_records(sized, plan)).select("mix_id", "source", "drawn_tokens")
+    longest = sized.groupBy("source").agg(F.max("n_tokens").alias("longest"))
+    want = plan.where("draw > 0").groupBy("mix_id", "source").agg(F.sum("draw").alias("draw"))
+    got = F.coalesce(F.col("drawn_tokens"), F.lit(0))
+    near = (got <= F.col("draw") + 1e-3) & (got > F.col("draw") - F.col("longest") - 1e-3)
+    return want.join(drawn, ["mix_id", "source"], "left").join(longest, "source").select("mix_id", "source", near.alias("realised"))
+
+
+def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Every text decoded from its ids; a null text comes back empty."""
+    path, pattern = vocabulary()
+    return decode_ids(p7_ids(spark, d), "doc_id", "ids", path, pattern)
+
+
 def _p9(spark: SparkSession, d: str) -> DataFrame:
     subjects = [r[0] for r in table(spark, d, "subjects").select("subject").orderBy("subject").collect()]  # a fixed table
     return assign_subjects(table(spark, d, "documents"), table(spark, d, "subject_labels"), subjects, cut=cut_lineage)
@@ -130,7 +158,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return per.crossJoin(F.broadcast(total)).select("subject", "documents", (F.col("documents") / F.col("total")).alias("share"))  # one row
 
 
-QUERIES = {"p2_percentiles": p2_percentiles, "p2_merged_months": p2_merged_months, "p2_within_bounds": p2_within_bounds, "p2_months_agree": p2_months_agree, "p2_after_deletions": p2_after_deletions, "p5_found": p5_found, "p7_ids": p7_ids, "p8_plan": p8_plan, "p8_found": p8_found, "p8_drawn_shares": p8_drawn_shares, "p9_found": p9_found, "p9_shares": p9_shares}
+QUERIES = {"p2_percentiles": p2_percentiles, "p2_merged_months": p2_merged_months, "p2_within_bounds": p2_within_bounds, "p2_months_agree": p2_months_agree, "p2_after_deletions": p2_after_deletions, "p5_found": p5_found, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_plan": p8_plan, "p8_found": p8_found, "p8_drawn_shares": p8_drawn_shares, "p8_even": p8_even, "p8_realised": p8_realised, "p9_found": p9_found, "p9_shares": p9_shares}
 
 
 def _top(name: str, t: str, p: str, key: str) -> str:
@@ -148,5 +176,8 @@ ORACLES = {
     "p2_months_agree": f"SELECT group_key, count(*) AS n, true AS alike FROM ({_GROUPS}) {_COUNTED}",
     "p2_after_deletions": f"""SELECT group_key, count(*) AS n, true AS within_bounds FROM (SELECT DISTINCT o_id, 'state ' || lower(trim(o_status)) AS group_key, o_total AS value FROM oltp_orders
   WHERE o_id NOT IN (SELECT key_id FROM key_deletions WHERE table_name = 'oltp_orders' AND restored_at IS NULL)) {_COUNTED}""",
+    "p7_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p8_even": "SELECT 'even' AS mix_id, count(DISTINCT source) AS sources, CAST(0.95 AS DOUBLE) AS evenness FROM documents WHERE text <> ''",
+    "p8_realised": "SELECT DISTINCT mix_id, source, true AS realised FROM mix_targets WHERE target_share > 0 AND size_ratio > 0 AND source IN (SELECT source FROM documents WHERE text <> '')",
     "p5_found": _top("customer", "customer_primary", "c", "c_custkey") + " UNION ALL " + _top("supplier", "supplier_list", "s", "s_suppkey"),
 }

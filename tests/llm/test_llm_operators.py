@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import BpeVocabulary, count_tokens, decode_ids, encode_texts
-from tessera.llm.mixing import draw_records, drawn_shares, entropy, exponent_for_entropy, exponent_within_limits, plan_mixes, tempered
+from tessera.llm.mixing import draw_records, drawn_shares, entropy, exponent_for_entropy, exponent_within_limits, filled, plan_mixes, tempered
 from tessera.llm.percentiles import DyadicSketch, build_sketches, merge_sketches, percentiles
 from tessera.llm.queries import VOCABULARY, vocabulary
 from tessera.llm.sentences import sentences
@@ -231,6 +231,21 @@ def test_mix(spark):
     assert [x["short"] for x in empty.collect()] == [False]
 
 
+def test_exponent_where_fitting_is_not_monotone():
+    """b fits its limit only between two exponents, with both the targets and the sources as they are outside it."""
+    target, share = np.array([0.60, 0.05, 0.35]), np.array([0.05, 0.60, 0.35])
+    most = np.array([0.30, 0.30, 1.0])
+    t = exponent_within_limits(target, share, most)
+    assert t is not None and not (target <= most).all() and not (share <= most).all()
+    assert (tempered(target, share, t) <= most * (1 + 1e-9)).all() and not (tempered(target, share, t - 0.01) <= most).all()
+
+
+def test_filled_mixes_keep_their_size():
+    assert np.allclose(filled(np.array([0.6, 0.3, 0.1]), np.array([0.2, 0.5, 1.0])), [0.2, 0.5, 0.3])
+    assert np.allclose(filled(np.array([0.6, 0.3, 0.1]), np.array([0.2, 0.2, 0.1])), [0.2, 0.2, 0.1])
+    assert np.allclose(filled(np.array([0.5, 0.5]), np.array([1.0, 1.0])), [0.5, 0.5])
+
+
 def test_mix_is_drawn_at_its_exponent(spark):
     docs = [(i, "big", 10) for i in range(900)] + [(1000 + i, "mid", 10) for i in range(300)] + [(2000 + i, "small", 10) for i in range(60)]
     sized = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
