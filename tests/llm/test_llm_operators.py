@@ -16,7 +16,7 @@ from tessera.llm.percentiles import DyadicSketch, build_sketches, merge_sketches
 from tessera.llm.queries import VOCABULARY, vocabulary
 from tessera.llm.sentences import sentences
 from tessera.llm.subjects import assign_subjects, fit_label_model
-from tessera.llm.topn import merge_top, top_n
+from tessera.llm.topn import LoserTree, Run, merge_top, top_n
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -156,10 +156,14 @@ def test_percentile_edges(spark):
 # Top N
 
 
+def as_run(rows):
+    return Run(*zip(*sorted(rows))) if rows else Run([], [], [])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 5), st.integers(0, 9)), max_size=25), min_size=1, max_size=7), st.integers(1, 4))
 def test_loser_tree(runs, n):
-    got = list(merge_top([sorted(r) for r in runs], n))
+    got = list(merge_top([as_run(r) for r in runs], n))
     want = []
     for g in range(4):
         want += sorted({x for r in runs for x in r if x[0] == g})[:n]
@@ -189,6 +193,26 @@ def test_top_n(spark, batch):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_seek_replays_only_the_paths_of_moved_runs():
+    """500 runs, of which two stand in the first group: seeking past it reads a few heads, not all of them."""
+    runs = [as_run([(0, float(i), i), (7, float(i), i)]) if i < 2 else as_run([(5, float(i), i)] * 3) for i in range(500)]
+    tree = LoserTree(runs)
+    read, wins = [], LoserTree._wins
+    tree._wins = lambda a, b: read.append((a, b)) or wins(tree, a, b)
+    tree.seek_after(0)
+    assert len(read) <= 2 * 10 and tree.pop()[0] == 5
+    assert list(merge_top([as_run([(g, float(i), i) for g in range(3)]) for i in range(500)], 2)) == [(g, float(i), i) for g in range(3) for i in range(2)]
+
+
+def test_top_n_over_several_passes(spark):
+    """40 runs merged three at a time and then together; scores as they are, without rounding."""
+    rows = [(i % 2, 0.001 * (i * 7919 % 1000), i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "g int, score double, item long").repartition(40)
+    got = [(x["g"], x["rank"], x["item"]) for x in top_n(df, ["g"], "score", "item", 3, digits=None, fan_in=3).orderBy("g", "rank").collect()]
+    want = [(g, r + 1, i) for g in (0, 1) for r, (_, i) in enumerate(sorted((-s, i) for h, s, i in rows if h == g)[:3])]
+    assert got == want
+
+
 # Mixes
 
 
