@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.llm.bpe import count_tokens, decode_ids, encode_texts
 from tessera.llm.mixing import draw_records, drawn_shares, plan_mixes
 from tessera.llm.percentiles import TINY, build_sketches, merge_sketches, percentiles
-from tessera.llm.subjects import assign_subjects
+from tessera.llm.subjects import LEAST_SHARE, MOST_LABELLED, VOTES, assign_subjects, voted
 from tessera.llm.topn import top_n
 from tessera.session import cut_lineage, table
 
@@ -142,15 +142,25 @@ def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return decode_ids(p7_ids(spark, d), "doc_id", "ids", path, pattern)
 
 
-def _p9(spark: SparkSession, d: str) -> DataFrame:
-    subjects = [r[0] for r in table(spark, d, "subjects").select("subject").orderBy("subject").collect()]  # a fixed table
-    return assign_subjects(table(spark, d, "documents"), table(spark, d, "subject_labels"), subjects, cut=cut_lineage)
+def _p9(spark: SparkSession, d: str, what=assign_subjects):
+    rows = table(spark, d, "subjects").orderBy("subject").collect()  # a fixed table
+    words = {r["subject"]: f"{r['title'] or ''}. {r['description'] or ''}" for r in rows}
+    return what(table(spark, d, "documents"), table(spark, d, "subject_labels"), list(words), MOST_LABELLED, LEAST_SHARE, words, cut_lineage)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return _p9(spark, d).select("doc_id", "subject")
 
 
+def p9_model(spark: SparkSession, d: str) -> DataFrame:
+    """What the label model changed: pairs of document and subject in all, those on which the lexicon abstained, and those decided against the count of sentences."""
+    votes, posterior = _p9(spark, d, voted)
+    rows = votes.join(F.broadcast(posterior), ["subject_no", *VOTES])
+    n = lambda c: F.sum(c.cast("bigint"))
+    yes = F.col("posterior") > 0.5
+    return rows.agg(F.count(F.lit(1)).alias("pairs"), n(F.col("lexicon") == 0).alias("abstained"), n(yes).alias("assigned"), n(~yes & F.col("counted")).alias("overruled_to_no"), n(yes & ~F.col("counted")).alias("overruled_to_yes"))
+
+
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """Per subject, how many documents are about it and their share of the corpus."""
     total = table(spark, d, "documents").agg(F.count(F.lit(1)).alias("total"))
@@ -158,7 +168,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return per.crossJoin(F.broadcast(total)).select("subject", "documents", (F.col("documents") / F.col("total")).alias("share"))  # one row
 
 
-QUERIES = {"p2_percentiles": p2_percentiles, "p2_merged_months": p2_merged_months, "p2_within_bounds": p2_within_bounds, "p2_months_agree": p2_months_agree, "p2_after_deletions": p2_after_deletions, "p5_found": p5_found, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_plan": p8_plan, "p8_found": p8_found, "p8_drawn_shares": p8_drawn_shares, "p8_even": p8_even, "p8_realised": p8_realised, "p9_found": p9_found, "p9_shares": p9_shares}
+QUERIES = {"p2_percentiles": p2_percentiles, "p2_merged_months": p2_merged_months, "p2_within_bounds": p2_within_bounds, "p2_months_agree": p2_months_agree, "p2_after_deletions": p2_after_deletions, "p5_found": p5_found, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_plan": p8_plan, "p8_found": p8_found, "p8_drawn_shares": p8_drawn_shares, "p8_even": p8_even, "p8_realised": p8_realised, "p9_found": p9_found, "p9_shares": p9_shares, "p9_model": p9_model}
 
 
 def _top(name: str, t: str, p: str, key: str) -> str:

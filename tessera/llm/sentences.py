@@ -5,12 +5,12 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter
+from collections.abc import Iterator
 
 import regex
 
 _INVISIBLE = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad]")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<\|[^<>|]{1,40}\|>")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>|<\|[^<>|]+\|>")
 _CODE = re.compile(r"```.*?(?:```|\Z)", re.S)
 #: A lead byte of UTF-8 read as a Latin letter, then a continuation byte read as Latin-1 or Windows-1252.
 _MOJIBAKE = re.compile("[\u00c2-\u00f4][\u0080-\u00bf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]")
@@ -40,21 +40,34 @@ def repaired(text: str) -> str:
             fixed.append(line)
         text = "\n".join(fixed)
     text = html.unescape(_TAG.sub("\n", text)) if "<" in text or "&" in text else text
-    text = unicodedata.normalize("NFKC", _SYMBOL.sub("", _INVISIBLE.sub("", text)))
-    return _HYPHEN.sub("", _FOOTER.sub("\n", _CODE.sub("\n", text)))
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", _SYMBOL.sub("", _INVISIBLE.sub("", text)))
+    text = _CODE.sub("\n", text) if "```" in text else text
+    text = _FOOTER.sub("\n", text) if "--" in text else text
+    return _HYPHEN.sub("", text) if "-\n" in text else text
 
 
-def _of(clean: str) -> list[str]:
-    out: list[str] = []
+def pieces(clean: str) -> Iterator[str]:
+    """What may be a sentence: repaired lines without what stands before them, cut at the marks that end sentences."""
     for line in clean.split("\n"):
         line = _LEAD.sub("", line.strip())
         if _FRAME.match(line):
             continue
         for s in _END.split(line.rstrip("| ")):
-            s = s.strip()
-            if len(_WORD.findall(s)) >= 2 or sum(map(len, _HAN.findall(s))) >= 2:
-                out.append(s)
-    return out
+            yield s.strip()
+
+
+def is_sentence(piece: str) -> bool:
+    return len(_WORD.findall(piece)) >= 2 or sum(map(len, _HAN.findall(piece))) >= 2
+
+
+def _of(clean: str) -> list[str]:
+    return [s for s in pieces(clean) if is_sentence(s)]
+
+
+def parts(text: str) -> list[str]:
+    """The repaired paragraphs (between blank lines) of a text."""
+    return re.split(r"\n\s*\n", repaired(text))
 
 
 def sentences(text: str | None) -> list[str]:
@@ -64,7 +77,7 @@ def sentences(text: str | None) -> list[str]:
 
 def paragraphs(text: str | None) -> list[list[str]]:
     """The sentences of each paragraph (between blank lines) that has any."""
-    return [p for part in re.split(r"\n\s*\n", repaired(text)) if (p := _of(part))] if text else []
+    return [p for part in parts(text) if (p := _of(part))] if text else []
 
 
 #: Function words by which the language of a text is told; Chinese is told by its signs.
@@ -89,19 +102,38 @@ def is_aside(sentence: str) -> bool:
     return any(p in low for p in ASIDES) and _ASIDE.search(low) is not None
 
 
+LANGUAGES = (*FUNCTION_WORDS, "zh")
+_LANGUAGES_OF = {w: tuple(i for i, lang in enumerate(FUNCTION_WORDS) if w in FUNCTION_WORDS[lang]) for known in FUNCTION_WORDS.values() for w in known}
+
+
+def language_marks(sentence: str) -> tuple[int, ...]:
+    """How much speaks for each of LANGUAGES: two for each of its function words, one for each Chinese sign."""
+    low, n = sentence.lower(), [0] * len(LANGUAGES)
+    for w in _WORD.findall(low):
+        for i in _LANGUAGES_OF.get(w, ()):
+            n[i] += 2
+    if not low.isascii():
+        n[-1] = sum(map(len, _HAN.findall(low)))
+    return tuple(n)
+
+
+def language_of(marks: list[int]) -> str:
+    """The language for which most speaks; the first of LANGUAGES if nothing does."""
+    return LANGUAGES[max(range(len(LANGUAGES)), key=lambda i: marks[i])]
+
+
 def language(sents: list[str]) -> str:
-    """zh, or the language whose function words are the most frequent (two signs weigh as much as a word); en if there are none."""
-    text = " ".join(sents).lower()
-    words = Counter(_WORD.findall(text))
-    n = {lang: 2 * sum(words[w] for w in known) for lang, known in FUNCTION_WORDS.items()}
-    n["zh"] = sum(map(len, _HAN.findall(text)))
-    return max(n, key=lambda k: n[k])
+    """The language of a text of these sentences."""
+    marks = [0] * len(LANGUAGES)
+    for s in sents:
+        marks = [a + b for a, b in zip(marks, language_marks(s))]
+    return language_of(marks)
 
 
 def features(sentence: str) -> list[str]:
     """Words and pairs of neighbouring words, and two to four neighbouring Chinese signs, each once."""
     s = sentence.lower().replace("_", " ").replace("-", " ")
-    grams = [run[i : i + n] for run in _HAN.findall(s) for n in (2, 3, 4) for i in range(len(run) - n + 1)]
+    grams = [] if s.isascii() else [run[i : i + n] for run in _HAN.findall(s) for n in (2, 3, 4) for i in range(len(run) - n + 1)]
     if grams:
         s = _HAN.sub(" ", s)
     words = [w[:-1] if len(w) > 3 and w[-1] == "s" else w for w in _WORD.findall(s)]

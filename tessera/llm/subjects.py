@@ -2,15 +2,24 @@
 
 A lexicon (features of sentences with their probability in each subject, one per language) is learned from the hand
 labels of a bounded sample: every sentence has a latent subject or none, restricted by the labels of its document, and
-expectation-maximisation fills in which. Labelling functions then vote on every document and subject: the lexicon (is a
-fifth of the sentences about it), the sections (is a paragraph mainly about it), the source and the address (the letters
-of the document number), and the hand labels. A latent model learns how accurate each of them is from how they agree
-over the whole corpus, and documents get the subjects whose posterior probability is above one half.
+expectation-maximisation fills in which. Labelling functions then vote on every document and subject:
+
+* `lexicon`: is a fifth of the sentences about it, counted both with the surely classified sentences alone and with all
+  that might be; it abstains where the two answers differ;
+* `leaning`: the likelier answer where the lexicon abstains, and no vote elsewhere;
+* `section`: do sections name it in the words of its title and description, which the lexicon does not use;
+* `source`, `address` (the letters of the document number): do hand labels of the sample name the subject there at twice
+  its usual rate, or at half;
+* `label`: the hand labels of the document itself.
+
+A latent model learns how accurate each of them is: at first against the hand labels, then from how they agree over the
+whole corpus; and documents get the subjects whose posterior probability is above one half.
 """
 
 from __future__ import annotations
 
 import pickle
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,42 +29,104 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import spread
-from tessera.llm.sentences import features, is_aside, language, paragraphs, sentences
+from tessera.llm.sentences import FUNCTION_WORDS, LANGUAGES, features, is_aside, is_sentence, language_marks, language_of, parts, pieces, sentences
 
 LEAST_SHARE = 0.2
 MOST_LABELLED = 8_000  # documents whose labels the lexicon is fitted to; a sample by hash of doc_id where there are more
-SEEN_SENTENCES = 100_000  # looked-up sentences per worker
-VOTES = ("lexicon", "section", "source", "address", "label")
+SEEN_SENTENCES = 200_000  # looked-up sentences per worker
+SENTENCES_AT_ONCE = 4096
+SURE = 3.0  # a sentence is surely of a class that is e**SURE times as likely as the next
+VOTES = ("lexicon", "leaning", "section", "source", "address", "label")
+TOGETHER = ((0, 1), (2,), (3, 4), (5,))  # of the votes: lexicon and leaning, source and address depend on each other
+_DIGITS = re.compile("[0-9]+")
+
+
+@dataclass
+class Seen:
+    """What is known of a sentence: marks of its language, whether it is an aside, the subjects it names, and per language its class and its rival's (-1: none)."""
+
+    marks: tuple[int, ...]
+    aside: bool
+    named: tuple[int, ...]
+    classes: dict[str, tuple[int, int]] = field(default_factory=dict)
 
 
 @dataclass
 class Lexicon:
-    """For each language: number of each feature, its weighted log P(feature | class) and log P(class); class 0 is `none`."""
+    """For each language: number of each feature, its weighted log P(feature | class) and log P(class); class 0 is `none`.
+
+    words maps words of the subjects' titles and descriptions to the subject's index.
+    """
 
     subjects: list[str]
     parts: dict[str, tuple[dict[str, int], np.ndarray, np.ndarray]]
-    seen: dict[tuple[str, str], int] = field(default_factory=dict, repr=False)
+    words: dict[str, int] = field(default_factory=dict)
+    seen: dict[str, Seen | None] = field(default_factory=dict, repr=False)
 
-    def classify(self, sentence_features: list[list[str]], lang: str) -> np.ndarray:
-        """The likeliest class of each sentence; none in a language without labels."""
-        return np.array([self._class(fs, lang) for fs in sentence_features], int)
-
-    def _class(self, fs: list[str], lang: str) -> int:
+    def classify(self, sentence_features: list[list[str]], lang: str) -> list[tuple[int, int]]:
+        """The likeliest class of each sentence, and the next where it is not surely the first (else -1); none in a language without labels."""
+        out = [(0, -1)] * len(sentence_features)
         if lang not in self.parts:
-            return 0
+            return out
         number, logphi, logpi = self.parts[lang]
-        known = [number[f] for f in fs if f in number]
-        return int((logphi[known].sum(axis=0) + logpi).argmax()) if known else 0
-
-    def classify_sentence(self, sentence: str, lang: str) -> int:
-        """The class of a sentence as it stands; sentences that come often are looked up."""
-        got = self.seen.get((lang, sentence))
-        if got is None:
-            got = 0 if is_aside(sentence) else self._class(features(sentence), lang)
-            if len(self.seen) >= SEEN_SENTENCES:
-                self.seen.clear()
-            self.seen[lang, sentence] = got
-        return got
+        rows = [[number[f] for f in fs if f in number] for fs in sentence_features]
+        at = [i for i, r in enumerate(rows) if r]
+        if not at:
+            return out
+        start = np.r_[0, np.cumsum([len(rows[i]) for i in at])[:-1]]
+        score = np.add.reduceat(logphi[[x for i in at for x in rows[i]]], start, axis=0) + logpi
+        best = score.argmax(axis=1)
+        top = score[np.arange(len(at)), best]
+        score[np.arange(len(at)), best] = -np.inf
+        rival = np.where(top - score.max(axis=1) >= SURE, -1, score.argmax(axis=1))
+        for i, b, r in zip(at, best.tolist(), rival.tolist()):
+            out[i] = (b, r)
+        return out
+
+    def read(self, texts: list[str | None]) -> list[list[list[tuple[int, int, tuple[int, ...]]]]]:
+        """For each text and paragraph the class, rival and named subjects of each sentence. Sentences that are alike but for their digits are looked up."""
+        if len(self.seen) >= SEEN_SENTENCES:
+            self.seen.clear()
+        seen, new = self.seen, {}
+        docs = []
+        for text in texts:
+            paras = [[_DIGITS.sub("0", s) for s in pieces(p)] for p in parts(text)] if text else []
+            for p in paras:
+                for s in p:
+                    if s not in seen:
+                        seen[s] = None
+                        if is_sentence(s):
+                            new[s] = fs = features(s)
+                            seen[s] = Seen(language_marks(s), is_aside(s), tuple({self.words[f] for f in fs if f in self.words}))
+            docs.append([k for p in paras if (k := [s for s in p if seen[s] is not None])])
+        langs, wanted = [], {}
+        for paras in docs:
+            marks = np.array([seen[s].marks for p in paras for s in p]).sum(axis=0) if paras else [0]
+            langs.append(language_of(marks) if paras else LANGUAGES[0])
+            for p in paras:
+                for s in p:
+                    if langs[-1] not in seen[s].classes:
+                        wanted.setdefault(langs[-1], {})[s] = None
+        for lang, some in wanted.items():
+            for s in [s for s in some if seen[s].aside]:
+                seen[s].classes[lang] = (0, -1)
+            asked = [s for s in some if not seen[s].aside]
+            for a in range(0, len(asked), SENTENCES_AT_ONCE):
+                part = asked[a : a + SENTENCES_AT_ONCE]
+                for s, c in zip(part, self.classify([new[s] if s in new else features(s) for s in part], lang)):
+                    seen[s].classes[lang] = c
+        return [[[(*seen[s].classes[lang], seen[s].named) for s in p] for p in paras] for paras, lang in zip(docs, langs)]
+
+
+def naming_words(descriptions: dict[str, str], subjects: list[str]) -> dict[str, int]:
+    """Words of the titles and descriptions of single subjects, with the subject's index; function words are left out."""
+    of: dict[str, set[int]] = {}
+    common = set().union(*FUNCTION_WORDS.values())
+    for i, s in enumerate(subjects):
+        for w in features(descriptions.get(s) or ""):
+            if " " not in w and len(w) > 2 and w not in common:
+                of.setdefault(w, set()).add(i)
+    return {w: next(iter(x)) for w, x in of.items() if len(x) == 1}
 
 
 def _fit_language(docs: list[tuple[list[list[str]], list[int]]], classes: int, doubt: float = 0.05, smooth: float = 3.0, rounds: int = 15):
@@ -113,148 +184,179 @@ def _fit_language(docs: list[tuple[list[list[str]], list[int]]], classes: int, d
     return number, logphi.astype(np.float32), np.log((q.sum(axis=0) + 1) / (q.sum() + classes)).astype(np.float32)
 
 
-def prepared(text: str | None) -> tuple[str, list[list[str]]]:
-    """Language and sentence features of a text, without sentences that name a subject only in passing or to deny it."""
-    sents = sentences(text)
-    return language(sents), [f for s in sents if not is_aside(s) and (f := features(s))]
+def prepared(text: str | None) -> tuple[str, list[str]]:
+    """Language and sentences of a text (every number as 0), those left out that name a subject only in passing or to deny it."""
+    sents = [_DIGITS.sub("0", s) for s in sentences(text)]
+    marks = np.array([language_marks(s) for s in sents]).sum(axis=0) if sents else None
+    return language_of(marks) if sents else LANGUAGES[0], [s for s in sents if not is_aside(s)]
 
 
-def fit_lexicon(labelled: list[tuple[str | None, list[str]]], subjects: list[str]) -> Lexicon:
-    """From texts with their labelled subjects (unknown ones are ignored; an empty list means none)."""
+def fit_lexicon_on(sample: DataFrame, subjects: list[str], descriptions: dict[str, str] | None = None) -> Lexicon:
+    """A lexicon from a bounded DataFrame of text and labels (unknown ones are ignored; an empty array means none), each language in a task of its own; only the fitted lexicon comes to the driver."""
     number = {s: i + 1 for i, s in enumerate(subjects)}
-    by_language: dict[str, list] = {}
-    for text, labels in labelled:
-        lang, fs = prepared(text)
-        if fs:
-            by_language.setdefault(lang, []).append((fs, sorted({number[s] for s in labels if s in number})))
-    return Lexicon(subjects, {lang: _fit_language(docs, len(subjects) + 1) for lang, docs in by_language.items()})
 
-
-def fit_lexicon_on(sample: DataFrame, subjects: list[str]) -> Lexicon:
-    """The same from a bounded DataFrame of text and labels, each language in a task of its own; only the fitted lexicon comes to the driver."""
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([prepared(t.as_py())[0] for t in b.column(0)], pa.string()), *b.columns], names=["lang", "text", "labels"])
+            langs, sents = zip(*[prepared(t.as_py()) for t in b.column(0)]) if b.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sents, pa.list_(pa.string())), b.column(1)], names=["lang", "sentences", "labels"])
 
     def fit(key: tuple, t: pa.Table) -> pa.Table:
-        lex = fit_lexicon([(x, y) for x, y in zip(t["text"].to_pylist(), t["labels"].to_pylist())], subjects)
-        return pa.table({"part": pa.array([pickle.dumps(lex.parts)], pa.binary())})
+        docs = [([f for s in sents if (f := features(s))], sorted({number[y] for y in labels if y in number})) for sents, labels in zip(t["sentences"].to_pylist(), t["labels"].to_pylist())]
+        docs = [d for d in docs if d[0]]
+        lexicon = {key[0].as_py(): _fit_language(docs, len(subjects) + 1)} if docs else {}
+        return pa.table({"part": pa.array([pickle.dumps(lexicon)], pa.binary())})
 
-    by_language = sample.select("text", "labels").mapInArrow(told, "lang string, text string, labels array<string>")
-    parts: dict = {}
-    for r in by_language.groupBy("lang").applyInArrow(fit, "part binary").collect():  # a row per language
-        parts |= pickle.loads(r["part"])
-    return Lexicon(subjects, parts)
+    by_language = sample.select("text", "labels").mapInArrow(told, "lang string, sentences array<string>, labels array<string>")
+    # So many partitions that languages hardly share one; a number that is given is not coalesced.
+    apart = by_language.repartition(16 * len(LANGUAGES), "lang")
+    fitted: dict = {}
+    for r in apart.groupBy("lang").applyInArrow(fit, "part binary").collect():  # a row per language
+        fitted |= pickle.loads(r["part"])
+    return Lexicon(subjects, fitted, naming_words(descriptions or {}, subjects))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """doc_id, text and the array of labels of at most `most` labelled documents."""
+    """The columns of docs and the array of labels of at most `most` labelled documents."""
     per = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_set("subject").alias("labels"))  # nulls are left out
     chosen = per.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(chosen, "doc_id")
+    return docs.join(chosen, "doc_id")
 
 
 def sentence_counts(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
-    """doc_id, kept columns, n_sentences, and for each subject (arrays in the order of lexicon.subjects) the sentences and whole paragraphs about it."""
+    """doc_id, kept columns, n_sentences, n_sections, and for each subject (arrays in the order of lexicon.subjects) the sentences about it, those surely and those possibly so, and the sections (paragraphs) that name it."""
     k = len(lexicon.subjects) + 1
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # as large as the bounded sample makes it
+    arrays = ("about", "surely", "maybe", "naming")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                n, about, mainly = [], [], []
-                for t in part.column(part.num_columns - 1):
-                    paras = paragraphs(t.as_py())
-                    lang = language([s for p in paras for s in p])
-                    total, sections = np.zeros(k, int), np.zeros(k, int)
-                    for p in paras:
-                        counts = np.bincount([lex.classify_sentence(s, lang) for s in p], minlength=k)
-                        total += counts
-                        if len(p) > 1:
-                            sections += 2 * counts > len(p)
-                    n.append(int(total.sum()))
-                    about.append(total[1:].tolist())
-                    mainly.append(sections[1:].tolist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n, pa.int32()), pa.array(about, pa.list_(pa.int32())), pa.array(mainly, pa.list_(pa.int32()))], names=["doc_id", *keep, "n_sentences", "about", "mainly"])
+                n, sections, out = [], [], {a: [] for a in arrays}
+                for paras in lex.read(part.column(part.num_columns - 1).to_pylist()):
+                    x = [s for p in paras for s in p]
+                    best, rival = np.array([s[0] for s in x], int), np.array([s[1] for s in x], int)
+                    about, surely = np.bincount(best, minlength=k), np.bincount(best[rival < 0], minlength=k)
+                    n.append(len(x))
+                    sections.append(len(paras))
+                    out["about"].append(about[1:].tolist())
+                    out["surely"].append(surely[1:].tolist())
+                    out["maybe"].append((about + np.bincount(rival[rival >= 0], minlength=k))[1:].tolist())
+                    named = [i for p in paras for i in {i for s in p for i in s[2]}]
+                    out["naming"].append(np.bincount(np.array(named, int), minlength=k - 1).tolist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n, pa.int32()), pa.array(sections, pa.int32()), *[pa.array(out[a], pa.list_(pa.int32())) for a in arrays]], names=["doc_id", *keep, "n_sentences", "n_sections", *arrays])
 
     kinds = dict(docs.dtypes)
     rows = spread(docs.select("doc_id", *keep, "text"), "doc_id")
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *keep)) + ", n_sentences int, about array<int>, mainly array<int>")
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *keep)) + ", n_sentences int, n_sections int, " + ", ".join(f"{a} array<int>" for a in arrays))
 
 
-def fit_label_model(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> dict[tuple[int, ...], float]:
+def fit_label_model(patterns: list[tuple[tuple[int, ...], int]], together: tuple[tuple[int, ...], ...] | None = None, label: int | None = None, soft: int = 100, rounds: int = 200) -> dict[tuple[int, ...], float]:
     """Posterior probability of each pattern of votes (subject number first, then 1, -1 or 0 for each function).
 
-    Classes of a subject have a prior of their own; a function's chances of voting 1, -1 or 0 given the truth are
-    shared by all subjects. The first function starts as the most trusted one.
+    Classes of a subject have a prior of their own; the chances of votes given the truth are shared by all subjects.
+    together groups functions whose votes depend on each other and so count as one with as many outcomes as they have
+    combinations (default: each alone). All start as somewhat better than chance, or, where label is the number of the
+    function of hand labels, at the accuracy they have against these; expectation-maximisation does the rest. After the
+    soft rounds every pair counts wholly as what it is likelier to be: else the doubt about single pairs, which weak
+    functions leave everywhere, would count as errors of the strong ones.
     """
     if not patterns:
         return {}
     votes = np.array([p for p, _ in patterns])
     n = np.array([c for _, c in patterns], float)
     subject, votes = votes[:, 0], votes[:, 1:]
-    m = votes.shape[1]
-    # theta[j, y, v]: chance that function j votes v (-1, 0, 1 as 0, 1, 2) given truth y
-    theta = np.full((m, 2, 3), 1 / 3)
-    theta[0] = [[0.96, 0.02, 0.02], [0.02, 0.02, 0.96]]
-    for j in range(1, m):
-        theta[j] = [[0.40, 0.35, 0.25], [0.25, 0.35, 0.40]]
+    together = together or tuple((j,) for j in range(votes.shape[1]))
+    outcome = [sum((votes[:, j] + 1) * 3**i for i, j in enumerate(g)) for g in together]
+    # theta[g][y, v]: chance that the functions of group g vote v given truth y; one tells y by the sum of its votes at first
+    lean = [np.sign(sum(np.arange(3 ** len(g)) // 3**i % 3 - 1 for i in range(len(g)))) for g in together]
+    theta = [np.stack([np.choose(x + 1, ps) for ps in ((0.55, 0.30, 0.15), (0.15, 0.30, 0.55))]) for x in lean]
+    if label is not None and (votes[:, label] > 0).any():
+        for g, group in enumerate(together):
+            for y, v in ((0, -1), (1, 1)):
+                if label not in group:
+                    theta[g][y] = np.bincount(outcome[g], weights=n * (votes[:, label] == v), minlength=3 ** len(group)) + 1.0
+    theta = [t / t.sum(axis=1, keepdims=True) for t in theta]
     prior = np.full(subject.max() + 1, 0.1)
     q = np.zeros(len(n))
-    for _ in range(rounds):
-        lg = [np.log(np.where(y, prior[subject], 1 - prior[subject])) + sum(np.log(theta[j, y, votes[:, j] + 1]) for j in range(m)) for y in (0, 1)]
+    for done in range(rounds):
+        lg = [np.log(np.where(y, prior[subject], 1 - prior[subject])) + sum(np.log(t[y, o]) for t, o in zip(theta, outcome)) for y in (0, 1)]
         new = 1 / (1 + np.exp(np.clip(lg[0] - lg[1], -500, 500)))
         moved, q = np.abs(new - q).max(), new
-        for y, w in ((0, n * (1 - q)), (1, n * q)):
-            for j in range(m):
-                c = np.bincount(votes[:, j] + 1, weights=w, minlength=3) + 1.0
-                theta[j, y] = c / c.sum()
-        one = np.bincount(subject, weights=n * q, minlength=len(prior))
+        now = q if done < soft else (q > 0.5).astype(float)
+        for y, w in ((0, n * (1 - now)), (1, n * now)):
+            for t, o in zip(theta, outcome):
+                c = np.bincount(o, weights=w, minlength=t.shape[1]) + 1.0
+                t[y] = c / c.sum()
+        one = np.bincount(subject, weights=n * now, minlength=len(prior))
         prior = (one + 1) / (np.bincount(subject, weights=n, minlength=len(prior)) + 10)
-        if moved < 1e-6:
+        if moved < 1e-6 and done > soft:
             break
     return {tuple(map(int, p)): float(x) for (p, _), x in zip(patterns, q)}
 
 
-def _lift(votes: DataFrame, by: str) -> DataFrame:
-    """For each value of a column and subject, 1 if the lexicon finds the subject there at twice its usual rate, -1 at half."""
-    rate = votes.groupBy(by, "subject_no").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.when(F.col("lexicon") == 1, 1).otherwise(0)).alias("hits"))
-    usual = votes.groupBy("subject_no").agg((F.sum(F.when(F.col("lexicon") == 1, 1).otherwise(0)) / F.count(F.lit(1))).alias("usual"))
-    near = (F.col("hits") + 10 * F.col("usual")) / (F.col("docs") + 10)
-    return rate.where(F.col(by).isNotNull()).join(F.broadcast(usual), "subject_no").select(by, "subject_no", F.when(near >= 2 * F.col("usual"), 1).when(near <= 0.5 * F.col("usual"), -1).otherwise(0).alias(f"{by}_vote"))  # usual: a row per subject
+def lifts(sample: DataFrame, by: str, subjects: list[str]) -> list[tuple[str, int, int]]:
+    """For values of a column of the labelled sample and subject numbers, 1 if labels name the subject there at twice its usual rate, -1 at half.
 
-
-def subject_votes(counts: DataFrame, labels: DataFrame, subjects: list[str], least_share: float = LEAST_SHARE) -> DataFrame:
-    """doc_id, subject_no and the vote of each labelling function, for documents with sentences."""
-    each = F.arrays_zip(F.col("about").alias("about"), F.col("mainly").alias("mainly"))
-    rows = counts.where("n_sentences > 0").select("doc_id", "source", "address", "n_sentences", F.posexplode(each).alias("subject_no", "x"))
-    lexicon = F.when(F.col("x.about") >= F.lit(least_share) * F.col("n_sentences") - 1e-9, 1).otherwise(-1)
-    section = F.when(F.col("x.mainly") > 0, 1).when(F.col("x.about") == 0, -1).otherwise(0)
-    rows = rows.select("doc_id", "source", "address", "subject_no", lexicon.alias("lexicon"), section.alias("section"))
+    As many rows at most as the sample has documents, times the subjects.
+    """
+    rows = sample.groupBy(by).agg(F.count(F.lit(1)).alias("docs"), *[F.sum(F.array_contains("labels", x).cast("int")).alias(f"n{i}") for i, x in enumerate(subjects)]).collect()
+    total = max(1, sum(r["docs"] for r in rows))
+    out = []
+    for i in range(len(subjects)):
+        usual = sum(r[f"n{i}"] for r in rows) / total
+        for r in rows:
+            near = (r[f"n{i}"] + 10 * usual) / (r["docs"] + 10)
+            vote = 1 if near >= 2 * usual else -1 if near <= usual / 2 else 0
+            if r[by] is not None and usual > 0 and vote:
+                out.append((r[by], i, vote))
+    return out
+
+
+def subject_votes(counts: DataFrame, labels: DataFrame, subjects: list[str], told: dict[str, list[tuple[str, int, int]]] | None = None, least_share: float = LEAST_SHARE) -> DataFrame:
+    """doc_id, subject_no and the vote of each labelling function, for documents with sentences. told: lifts of `source` and `address`."""
     known = F.array_position(F.array(*map(F.lit, subjects)), F.col("subject")) - 1
     per = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_set(known.cast("int")).alias("labelled"))
-    with_rates = rows.join(_lift(rows, "source"), ["source", "subject_no"], "left").join(_lift(rows, "address"), ["address", "subject_no"], "left").join(per, "doc_id", "left")
-    label = F.when(F.col("labelled").isNull(), 0).when(F.array_contains("labelled", F.col("subject_no")), 1).otherwise(-1)
-    return with_rates.select("doc_id", "subject_no", "lexicon", "section", F.coalesce("source_vote", F.lit(0)).alias("source"), F.coalesce("address_vote", F.lit(0)).alias("address"), label.alias("label"))
-
-
-def assign_subjects(docs: DataFrame, labels: DataFrame, subjects: list[str], most_labelled: int = MOST_LABELLED, least_share: float = LEAST_SHARE, cut=lambda df: df) -> DataFrame:
+    each = F.arrays_zip(*map(F.col, ("about", "surely", "maybe", "naming")))
+    named_any = F.exists("naming", lambda x: x > 0)
+    rows = counts.where("n_sentences > 0").join(per, "doc_id", "left").select("doc_id", "source", "address", "n_sentences", "n_sections", "labelled", named_any.alias("named_any"), F.posexplode(each).alias("subject_no", "x"))
+    share = lambda c, of: F.col(c) >= F.lit(least_share) * F.col(of) - 1e-9
+    sure_yes, sure_no = share("x.surely", "n_sentences"), ~share("x.maybe", "n_sentences")
+    votes = {
+        "lexicon": F.when(sure_yes, 1).when(sure_no, -1).otherwise(0),
+        "leaning": F.when(sure_yes | sure_no, 0).when(share("x.about", "n_sentences"), 1).otherwise(-1),
+        "section": F.when((F.col("x.naming") > 0) & share("x.naming", "n_sections"), 1).when(F.col("named_any") & (F.col("x.naming") == 0), -1).otherwise(0),
+        "label": F.when(F.col("labelled").isNull(), 0).when(F.array_contains("labelled", F.col("subject_no")), 1).otherwise(-1),
+    }
+    rows = rows.select("doc_id", "source", "address", "subject_no", *[c.alias(k) for k, c in votes.items()], share("x.about", "n_sentences").alias("counted"))
+    for by in ("source", "address"):
+        lift = counts.sparkSession.createDataFrame((told or {}).get(by, []), f"{by} string, subject_no int, {by}_vote int")
+        rows = rows.join(F.broadcast(lift), [by, "subject_no"], "left")  # bounded by the sample
+    return rows.select("doc_id", "subject_no", "lexicon", "leaning", "section", F.coalesce("source_vote", F.lit(0)).alias("source"), F.coalesce("address_vote", F.lit(0)).alias("address"), "label", "counted")
+
+
+def assign_subjects(docs: DataFrame, labels: DataFrame, subjects: list[str], most_labelled: int = MOST_LABELLED, least_share: float = LEAST_SHARE, descriptions: dict[str, str] | None = None, cut=lambda df: df) -> DataFrame:
     """doc_id, subject and posterior of every subject a document is about.
 
     docs has doc_id (unique), text, source and doc_number; labels has doc_id and subject (null: none). Null, empty and
     wordless texts have no subject, nor has any text where no label is given. Subjects in labels that are not in
-    `subjects` are ignored, as are labels of unknown documents; repeated labels count once. Other columns are ignored.
-    cut stores what is read more than once.
+    `subjects` are ignored, as are labels of unknown documents; repeated labels count once. descriptions gives the
+    title and description of subjects in words. Other columns are ignored. cut stores what is read more than once.
     """
-    lexicon = fit_lexicon_on(labelled_sample(docs, labels, most_labelled), subjects)
-    slim = docs.select("doc_id", "source", F.regexp_extract(F.coalesce("doc_number", F.lit("")), r"^\p{L}+", 0).alias("address"), "text")
+    votes, table = voted(docs, labels, subjects, most_labelled, least_share, descriptions, cut)
+    return votes.join(F.broadcast(table.where("posterior > 0.5")), ["subject_no", *VOTES]).select("doc_id", "subject", "posterior")
+
+
+def voted(docs: DataFrame, labels: DataFrame, subjects: list[str], most_labelled: int, least_share: float, descriptions: dict[str, str] | None, cut) -> tuple[DataFrame, DataFrame]:
+    """The votes on every document and subject, and the posterior of every pattern of them (at most 729 for each subject)."""
+    slim = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_extract(F.coalesce("doc_number", F.lit("")), r"^\p{L}+", 0).alias("address"), "text")
+    sample = cut(labelled_sample(slim, labels, most_labelled))  # bounded, and read three times
+    lexicon = fit_lexicon_on(sample, subjects, descriptions)
+    told = {by: lifts(sample, by, subjects) for by in ("source", "address")}
     counts = cut(sentence_counts(slim, lexicon, ["source", "address"]))
-    votes = subject_votes(counts, labels, subjects, least_share)
-    patterns = votes.groupBy("subject_no", *VOTES).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 243 for each subject
-    posterior = fit_label_model([(tuple(r[c] for c in ("subject_no", *VOTES)), r["n"]) for r in patterns])
-    spark = docs.sparkSession
-    good = [(*p, subjects[p[0]], x) for p, x in posterior.items() if x > 0.5]
-    table = spark.createDataFrame(good, "subject_no int, " + ", ".join(f"{v} int" for v in VOTES) + ", subject string, posterior double")
-    return votes.join(F.broadcast(table), ["subject_no", *VOTES]).select("doc_id", "subject", "posterior")
+    votes = subject_votes(counts, labels, subjects, told, least_share)
+    patterns = votes.groupBy("subject_no", *VOTES).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 729 for each subject
+    posterior = fit_label_model([(tuple(r[c] for c in ("subject_no", *VOTES)), r["n"]) for r in patterns], TOGETHER, VOTES.index("label"))
+    rows = [(*p, subjects[p[0]], x) for p, x in posterior.items()]
+    return votes, docs.sparkSession.createDataFrame(rows, "subject_no int, " + ", ".join(f"{v} int" for v in VOTES) + ", subject string, posterior double")

@@ -15,7 +15,7 @@ from tessera.llm.mixing import draw_records, drawn_shares, entropy, exponent_for
 from tessera.llm.percentiles import DyadicSketch, build_sketches, merge_sketches, percentiles
 from tessera.llm.queries import VOCABULARY, vocabulary
 from tessera.llm.sentences import sentences
-from tessera.llm.subjects import assign_subjects, fit_label_model
+from tessera.llm.subjects import TOGETHER, VOTES, Lexicon, assign_subjects, fit_label_model, lifts, naming_words, subject_votes
 from tessera.llm.topn import LoserTree, Run, merge_top, top_n
 
 P = pytest.importorskip("public_tokenizers")
@@ -316,6 +316,49 @@ def test_label_model_trusts_the_accurate():
     assert fit_label_model([]) == {}
 
 
+def test_label_model_overrules_the_lexicon():
+    """Planted leaning votes that are wrong half of the time are settled by what the other functions say; the sure ones stand."""
+    r = random.Random(11)
+    n = Counter()
+    for _ in range(60_000):
+        y = r.random() < 0.15
+        told = lambda right: (1 if y else -1) if r.random() < right else (-1 if y else 1)  # noqa: B023, E731
+        unsure = r.random() < 0.05
+        origin = told(0.8)
+        lexicon, leaning = (0, told(0.55)) if unsure else (told(0.999), 0)
+        n[0, lexicon, leaning, told(0.85), origin, origin, told(0.95) if r.random() < 0.1 else 0] += 1
+    post = fit_label_model(list(n.items()), TOGETHER, VOTES.index("label"))
+    assert post[0, 0, 1, -1, -1, -1, 0] < 0.1 and post[0, 0, 1, -1, 1, 1, -1] < 0.5  # overruled to no
+    assert post[0, 0, -1, 1, 1, 1, 0] > 0.5 and post[0, 0, -1, 1, 1, 1, 1] > 0.9  # and to yes
+    assert post[0, 1, 0, -1, -1, -1, 0] > 0.5 and post[0, -1, 0, 1, 1, 1, 0] < 0.5  # sure votes
+
+
+def test_votes(spark):
+    """The lexicon abstains only where unsure sentences decide; every other function has evidence of its own."""
+    kinds = "doc_id long, source string, address string, n_sentences int, n_sections int, about array<int>, surely array<int>, maybe array<int>, naming array<int>"
+    rows = [(1, "s", "A", 5, 2, [1, 0], [1, 0], [1, 0], [1, 0]), (2, None, "B", 5, 1, [1, 0], [0, 0], [1, 1], [0, 0]), (3, "s", "A", 0, 0, [0, 0], [0, 0], [0, 0], [0, 0]), (4, "s", None, 10, 1, [1, 1], [1, 0], [1, 2], [0, 1])]
+    labels = spark.createDataFrame([(1, "y"), (4, None), (4, None), (None, "x")], "doc_id long, subject string")
+    got = {(r["doc_id"], r["subject_no"]): tuple(r[v] for v in VOTES) for r in subject_votes(spark.createDataFrame(rows, kinds), labels, ["x", "y"], {"source": [("s", 0, 1)], "address": [("A", 1, -1)]}).collect()}
+    assert got == {(1, 0): (1, 0, 1, 1, 0, -1), (1, 1): (-1, 0, -1, 0, -1, 1), (2, 0): (0, 1, 0, 0, 0, 0), (2, 1): (0, -1, 0, 0, 0, 0), (4, 0): (-1, 0, -1, 1, 0, -1), (4, 1): (0, -1, 1, 0, 0, -1)}
+
+
+def test_lifts_and_naming_words(spark):
+    sample = spark.createDataFrame([(i, "law" if i % 2 else None, ["x"] if i % 2 else []) for i in range(60)], "doc_id long, source string, labels array<string>")
+    assert lifts(sample, "source", ["x", "y"]) == []  # 0.9 against 0.5 is less than twice as much
+    rare = spark.createDataFrame([(i, "law" if i < 30 else "b", ["x"] if i < 30 else []) for i in range(120)], "doc_id long, source string, labels array<string>")
+    assert sorted(lifts(rare, "source", ["x", "y"])) == [("b", 0, -1), ("law", 0, 1)]
+    assert naming_words({"x": "Pages and packets of the log.", "y": "Packets, clients"}, ["x", "y"]) == {"page": 0, "log": 0, "client": 1}
+
+
+def test_lexicon_names_its_rivals():
+    phi = np.log(np.array([[0.1, 0.8, 0.1], [0.1, 0.45, 0.45], [0.1, 0.1, 0.8]], np.float32))
+    lexicon = Lexicon(["x", "y"], {"en": ({"page": 0, "log": 1, "packet": 2}, phi * 3, np.zeros(3, np.float32))}, {"log": 0})
+    assert lexicon.classify([["page"], ["log"], ["packet", "log"], ["unknown"]], "en") == [(1, -1), (1, 2), (2, -1), (0, -1)]
+    assert lexicon.classify([["page"]], "zh") == [(0, -1)]
+    read = lexicon.read(["The packet 7 and the packet 12. The log is not a page.\n\nThe packet 8 and the packet 1.", None, ""])
+    assert [[x[:1] + x[2:] for x in p] for p in read[0]] == [[(2, ()), (1, (0,))], [(2, ())]] and read[1:] == [[], []] and len(lexicon.seen) == 2
+
+
 def corpus(n, seed):
     r = random.Random(seed)
     words = {"law": ["court", "statute", "liability", "plaintiff", "clause"], "sport": ["goal", "race", "league", "referee", "keeper"], "network": ["packet", "socket", "cipher", "router", "latency"]}
