@@ -65,7 +65,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_profile(spark: SparkSession, d: str) -> DataFrame:
     """What is usual in each run, metric and hour of day, from the merged sketches."""
-    sketch = sketches(lay_out(table(spark, d, "metrics"), "run_id", "ts", "sample_id", SOAK_METRICS), SOAK_METRICS, Rules())
+    short, cut = lay_out(table(spark, d, "metrics"), "run_id", "ts", "sample_id", SOAK_METRICS)
+    sketch = sketches(short if cut is None else short.unionByName(cut), SOAK_METRICS, Rules())
     return profiles(sketch, ("source", "metric", "hour"))
 
 

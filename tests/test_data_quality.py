@@ -2,14 +2,16 @@
 
 import random
 from datetime import datetime, timedelta
+from statistics import median, median_high, median_low
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators.copydiff import copy_differences
 from tessera.operators.orphans import Children, Parents, orphan_counts, orphan_references
 from tessera.operators.rolling import daily_totals, rolling_extremes, rolling_totals
-from tessera.operators.spikes import Metric, implausible_readings
+from tessera.operators.spikes import Metric, Rules, excursions, implausible_readings
 
 T0 = datetime(2025, 1, 1)
 
@@ -174,3 +176,69 @@ def test_spike_sources_and_times_may_be_null(spark):
     out = implausible_readings(df, "run", "ts", "sample_id", [Metric("x", "cap")])
     assert [(r["sample_id"], r["reason"]) for r in out.collect()] == [(4, "impossible")]
     assert out.where(F.col("metric") != "x").count() == 0
+
+
+def test_null_times_in_a_long_source(spark):
+    rows = [(i, "long", None if i in (7, 500) else T0 + timedelta(minutes=i), -1.0 if i in (7, 900) else 5.0 + i % 7) for i in range(1000)]
+    df = spark.createDataFrame(rows, "sample_id long, run string, ts timestamp_ntz, x double")
+    for piece_rows in (64, 10**6):
+        found = implausible_readings(df, "run", "ts", "sample_id", [Metric("x")], piece_rows=piece_rows, halo_rows=28)
+        assert sorted(r["sample_id"] for r in found.where("reason = 'impossible'").collect()) == [7, 900]
+
+
+def test_spikes_by_hour_and_in_short_sources(spark):
+    """The same jump stands out in a quiet hour and not in a noisy one; a short source needs a wider jump."""
+    r = random.Random(21)
+    noisy = [r.gauss(100, 12 if i // 60 % 24 == 3 else 1) for i in range(60 * 24 * 2)]
+    for at in (60 * 3 + 30, 60 * 12 + 30):
+        noisy[at] = 100.0 + 18.0
+    by_hour, by_source = (readings(spark, [noisy], rules=Rules(hour_least=least)) for least in (100, 10**9))
+    assert (60 * 12 + 30, "spike") in by_hour and (60 * 12 + 30, "spike") in by_source
+    assert len({i for i, _ in by_hour if i // 60 % 24 == 3}) < len({i for i, _ in by_source if i // 60 % 24 == 3})
+    assert readings(spark, [noisy], rules=Rules(hour_least=100), piece_rows=256, halo_rows=40) == by_hour
+    short = [100.0, 101.0, 99.5, 100.5, 300.0, 100.0, 101.0, 99.0, 100.5, 100.0, 99.5, 101.0, 100.0, 100.5, 99.0, 100.0]
+    assert readings(spark, [short, [v if v < 200 else 108.0 for v in short]]) == {(4, "spike")}
+
+
+def excursions_by_hand(x, seg, scatter, rules, course, apart):
+    n, p, best = len(x), rules.context, [0.0] * len(x)
+    ok = lambda i, s: 0 <= i < n and seg[i] == s and course[i] == course[i]
+    for i in range(n):
+        for length in range(1, rules.spike + 1):
+            inside = list(range(i, i + length))
+            if inside[-1] >= n or any(seg[j] != seg[i] or x[j] != x[j] for j in inside):
+                continue
+            before = [(j - i, course[j]) for j in range(i - p, i) if ok(j, seg[i])]
+            after = [(j - i, course[j]) for j in range(i + length, i + length + p) if ok(j, seg[i])]
+            if len(before) < 2 or len(after) < 2:
+                continue
+            slopes = [(b[1] - a[1]) / (b[0] - a[0]) for w in (before, after) for k, a in enumerate(w) for b in w[k + 1 :]]
+            for slope in (0.0, median(slopes)):
+                b, a = [v - slope * t for t, v in before], [v - slope * t for t, v in after]
+                high, low = max(median_high(a), median_high(b)), min(median_low(a), median_low(b))
+                rest = [x[j] - slope * (j - i) for j in inside]
+                size = max(min(rest) - high, low - max(rest))
+                if scatter[i] > 0 and high - low <= max(3 * scatter[i], apart * size):
+                    for j in inside:
+                        best[j] = max(best[j], size / scatter[i])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_excursions_equal_those_by_hand(seed):
+    r = np.random.default_rng(seed)
+    n = 120
+    x = np.round(r.normal(0, 1, n).cumsum() * (seed % 2) + r.normal(0, 1, n), 2)
+    x[r.integers(0, n, 6)] += 20
+    seg = np.repeat([1, 2, 3, 4], [3, 60, 17, 40])
+    course = x.copy()
+    course[r.integers(0, n, 10 * (seed % 3))] = np.nan
+    got = excursions(x, seg, np.full(n, 1.3), Rules(), course, 0.2)
+    assert np.allclose(got, excursions_by_hand(x.tolist(), seg, [1.3] * n, Rules(), course.tolist(), 0.2))
+    assert (got > 6).any()
+
+
+def test_slow_bumps_are_no_spikes(spark):
+    """Up and down again within four readings, but at the rates that this source always has: a triangle wave with one odd tooth."""
+    wave = [float(abs(i % 8 - 4)) * 10 + v for i, v in enumerate(noise(400, 31, 0.0, 0.05))]
+    assert readings(spark, [[100 + v for v in wave]]) == set()
