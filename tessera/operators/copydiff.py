@@ -24,11 +24,20 @@ def comparable(df: DataFrame, field: str) -> Column:
     return F.rtrim(c) if kind == "string" else c.cast("string")
 
 
+def _goes_on(t: pa.Table, columns: list[str]) -> np.ndarray:
+    """Whether each row has the same values in these (null-free) columns as the row before it."""
+    out = np.ones(t.num_rows, bool)
+    out[:1] = False
+    for c in columns:
+        x = t[c].combine_chunks()
+        out[1:] &= pc.equal(x[1:], x[:-1]).to_numpy(zero_copy_only=False)
+    return out
+
+
 def _first_of_each(t: pa.Table) -> pa.Table:
-    """The first row of every (key, side), in the order of t."""
-    n = pa.array(range(t.num_rows), pa.int64())
-    first = t.select(["row_key", "side"]).append_column("n", n).group_by(["row_key", "side"], use_threads=False).aggregate([("n", "min")])
-    return t if first.num_rows == t.num_rows else t.take(np.sort(first["n_min"].to_numpy()))
+    """The first row of every (key, side) of a sorted table."""
+    again = _goes_on(t, ["row_key", "side"])
+    return t.take(np.flatnonzero(~again)) if again.any() else t
 
 
 def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,21 +45,24 @@ def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         t = pa.Table.from_batches([b])
         if len(t.group_by(["row_key", "side"], use_threads=False).aggregate([])) < len(t):
-            t = _first_of_each(t.sort_by([(c, "ascending") for c in t.column_names]))
+            t = _first_of_each(t.sort_by([(c, "ascending") for c in t.column_names]))  # nulls last, as in the sort after the shuffle
         yield from t.combine_chunks().to_batches()
 
 
 def _merge_step(t: pa.Table, fields: list[str]) -> pa.Table:
-    """Differences of whole key groups; t is sorted by key, then side."""
+    """Differences of whole key groups; t is sorted by key, then side.
+
+    Two pointers go down the copies together: in the sorted table the row of the replica with a key comes right after
+    that of the primary, and a row with neither such a neighbour is alone.
+    """
     t = _first_of_each(t)
-    left, right = t.filter(pc.equal(t["side"], 0)), t.filter(pc.equal(t["side"], 1))
-    out = []
-    for a, b, what in ((left, right, "missing_in_replica"), (right, left, "missing_in_primary")):
-        alone = a["row_key"].filter(pc.invert(pc.is_in(a["row_key"], value_set=b["row_key"].combine_chunks())))
-        out.append((alone, what))
-    both = pc.is_in(left["row_key"], value_set=right["row_key"].combine_chunks())
-    left, right = left.filter(both), right.filter(pc.is_in(right["row_key"], value_set=left["row_key"].combine_chunks()))
-    for f in fields:  # both sides are in key order and hold the same keys: row i meets row i
+    met = np.flatnonzero(_goes_on(t, ["row_key"]))  # the replica's row of each key that both have
+    alone = np.ones(t.num_rows, bool)
+    alone[met] = alone[met - 1] = False
+    primary = t["side"].to_numpy() == 0
+    left, right = t.take(met - 1), t.take(met)
+    out = [(t["row_key"].filter(pa.array(alone & side)), what) for side, what in ((primary, "missing_in_replica"), (~primary, "missing_in_primary"))]
+    for f in fields:
         x, y = left[f], right[f]
         same = pc.or_(pc.fill_null(pc.equal(x, y), False), pc.and_(pc.is_null(x), pc.is_null(y)))
         out.append((left["row_key"].filter(pc.invert(same)), f))
@@ -63,7 +75,7 @@ def copy_differences(primary: DataFrame, replica: DataFrame, key: str, fields: l
     difference is `missing_in_primary`, `missing_in_replica` or a field name. Strings are equal if so after dropping
     spaces at the end, floating numbers if equal in cents (NaN equals NaN, -0.0 is 0.0), null equals null only. Rows
     with a null key cannot be matched and are left out. Of repeated rows of a key the earliest by loaded_at counts,
-    then the smallest values. Columns that are not named in fields are ignored. Two empty copies give no rows; one
+    then the smallest values, nulls last. Columns that are not named in fields are ignored. Two empty copies give no rows; one
     empty copy makes every key of the other missing.
     """
     def side(df: DataFrame, n: int) -> DataFrame:
@@ -72,7 +84,7 @@ def copy_differences(primary: DataFrame, replica: DataFrame, key: str, fields: l
 
     names = [f"f{i}" for i in range(len(fields))]
     rows = side(primary, 0).unionByName(side(replica, 1))
-    order = ["row_key", "side", F.col("loaded").asc_nulls_last(), *names]
+    order = ["row_key", "side", *[F.col(c).asc_nulls_last() for c in ("loaded", *names)]]
     ordered = rows.mapInArrow(_shrink, rows.schema).repartitionByRange("row_key").sortWithinPartitions(*order)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

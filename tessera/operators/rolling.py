@@ -11,33 +11,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+MOST = 1e30  # amounts beyond count as this much: sums of a hundred million of them still are exact
+CENTS = "decimal(38,0)"
+
+
 def daily_totals(orders: DataFrame, entity: str, amount: str, at: str, row_id: str) -> DataFrame:
-    """entity, day (days since 1970-01-01), cents: rows alike in row id, entity, time and amount count once.
+    """entity, day (days since 1970-01-01), cents (decimal): rows alike in row id, entity, time and amount count once.
 
     Rows without entity, amount or time do not count, nor do NaN and infinite amounts. Amounts are whole cents, each
-    rounded half away from zero.
+    rounded half away from zero, and summed exactly; those beyond 1e30 in magnitude count as 1e30.
     """
     x = F.col(f"`{amount}`").cast("double")
     rows = orders.select(F.col(f"`{entity}`").cast("bigint").alias("entity"), F.col(f"`{row_id}`").alias("row_id"), F.col(f"`{at}`").alias("at"), x.alias("amount"))
-    rows = rows.where("entity IS NOT NULL AND at IS NOT NULL AND amount IS NOT NULL AND NOT isnan(amount) AND abs(amount) < 1e16")
+    rows = rows.where("entity IS NOT NULL AND at IS NOT NULL AND amount IS NOT NULL AND NOT isnan(amount) AND abs(amount) < double('Infinity')")
     once = rows.distinct()
-    return once.groupBy("entity", F.unix_date(F.to_date("at")).alias("day")).agg(F.sum(F.round(F.col("amount") * 100).cast("bigint")).alias("cents"))
+    cents = F.round(F.greatest(F.lit(-MOST), F.least(F.lit(MOST), F.col("amount"))) * 100).cast(CENTS)
+    return once.groupBy("entity", F.unix_date(F.to_date("at")).alias("day")).agg(F.sum(cents).cast(CENTS).alias("cents"))
 
 
-def rolling_totals(daily: DataFrame, periods: tuple[int, ...] = (7, 30)) -> DataFrame:
-    """For each entity and day from its first to its last: cents of the day, total_N (cents) and average_N of each period N."""
+def rolling_totals(daily: DataFrame, periods: tuple[int, ...] = (7, 30), every_day: bool = True) -> DataFrame:
+    """For each entity and day from its first to its last: cents of the day, total_N (cents) and average_N of each period N.
+
+    With every_day false, only the days on which a total may change come out: those with cents, and those on which such
+    a day leaves a period. On the days between, totals are those of the day before, so extremes can be told without them.
+    """
     by_day = Window.partitionBy("entity").orderBy("day")
-    until = F.coalesce(F.lead("day").over(by_day) - 1, F.col("day"))
-    first = F.col("day").alias("active_day")
-    calendar = daily.select("entity", first, "cents", until.alias("until")).select("entity", "active_day", "cents", F.explode(F.sequence("active_day", "until")).alias("day"))
-    calendar = calendar.select("entity", "day", F.when(F.col("day") == F.col("active_day"), F.col("cents")).otherwise(F.lit(0).cast("bigint")).alias("cents"))
-    totals = {f"total_{n}": F.sum("cents").over(by_day.rangeBetween(-(n - 1), 0)) for n in periods}
+    if every_day:
+        until = F.coalesce(F.lead("day").over(by_day) - 1, F.col("day"))
+        rows = daily.select("entity", F.col("day").alias("active_day"), "cents", until.alias("until"))
+        rows = rows.select("entity", "active_day", "cents", F.explode(F.sequence("active_day", "until")).alias("day"))
+        calendar = rows.select("entity", "day", F.when(F.col("day") == F.col("active_day"), F.col("cents")).otherwise(F.lit(0).cast(CENTS)).alias("cents"))
+    else:
+        last = F.max("day").over(Window.partitionBy("entity"))
+        changes = F.explode(F.array(F.lit(0), *map(F.lit, periods))).alias("later")
+        rows = daily.select("entity", "day", "cents", last.alias("last")).select("entity", "day", "cents", "last", changes)
+        rows = rows.select("entity", (F.col("day") + F.col("later")).alias("day"), F.when(F.col("later") == 0, F.col("cents")).otherwise(F.lit(0).cast(CENTS)).alias("cents"), "last")
+        calendar = rows.where("day <= last").groupBy("entity", "day").agg(F.sum("cents").cast(CENTS).alias("cents"))
+    totals = {f"total_{n}": F.sum("cents").over(by_day.rangeBetween(-(n - 1), 0)).cast(CENTS) for n in periods}
     out = calendar.select("entity", "day", "cents", *[c.alias(k) for k, c in totals.items()])
-    return out.withColumns({f"average_{n}": F.col(f"total_{n}") / F.lit(100.0 * n) for n in periods})
+    return out.withColumns({f"average_{n}": F.col(f"total_{n}").cast("double") / F.lit(100.0 * n) for n in periods})
 
 
 def rolling_extremes(rolling: DataFrame, periods: tuple[int, ...] = (7, 30)) -> DataFrame:
-    """entity, period_days, extreme (`high`, `low`) and the earliest day (bigint) with that trailing total."""
+    """entity, period_days, extreme (`high`, `low`) and the earliest day (bigint) with that trailing total, from all days or those of changes."""
     best = []
     for n in periods:
         t = F.col(f"total_{n}")

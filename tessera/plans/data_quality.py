@@ -43,19 +43,19 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return cols(customer, "customer").unionByName(cols(nation, "nation"))
 
 
-def _p4_rolling(spark: SparkSession, d: str) -> DataFrame:
+def _p4_rolling(spark: SparkSession, d: str, every_day: bool = True) -> DataFrame:
     daily = daily_totals(table(spark, d, "oltp_orders"), "o_customer_id", "o_total", "o_created_at", "o_id")
     known = table(spark, d, "customers").select(F.col("c_id").cast("bigint").alias("entity"))
-    return rolling_totals(daily.join(known, "entity", "left_semi"))
+    return rolling_totals(daily.join(known, "entity", "left_semi"), every_day=every_day)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return rolling_extremes(_p4_rolling(spark, d)).select(F.col("entity").alias("o_customer_id"), "period_days", "extreme", F.date_format(F.date_from_unix_date(F.col("day").cast("int")), "yyyy-MM-dd").alias("trailing_day"))
+    return rolling_extremes(_p4_rolling(spark, d, every_day=False)).select(F.col("entity").alias("o_customer_id"), "period_days", "extreme", F.date_format(F.date_from_unix_date(F.col("day").cast("int")), "yyyy-MM-dd").alias("trailing_day"))
 
 
 def p4_rolling(spark: SparkSession, d: str) -> DataFrame:
     day = F.date_format(F.date_from_unix_date("day"), "yyyy-MM-dd").alias("trailing_day")
-    money = [F.round(F.col(c) / (100.0 if c.startswith("total") else 1.0), 4).alias(c) for c in ("total_7", "average_7", "total_30", "average_30")]
+    money = [F.round(F.col(c).cast("double") / (100.0 if c.startswith("total") else 1.0), 4).alias(c) for c in ("total_7", "average_7", "total_30", "average_30")]
     return _p4_rolling(spark, d).select(F.col("entity").alias("o_customer_id"), day, *money)
 
 

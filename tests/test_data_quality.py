@@ -2,6 +2,7 @@
 
 import random
 from datetime import datetime, timedelta
+from decimal import Decimal
 from statistics import median, median_high, median_low
 
 import numpy as np
@@ -103,11 +104,39 @@ def test_rolling_against_brute_force(spark):
     assert ext == {k: min(v)[1] for k, v in best.items()}
 
 
+def test_rolling_on_days_of_change_and_of_huge_amounts(spark):
+    """Extremes from the days of change are those from all days; amounts beyond 1e16 count to the cent, negative ones too."""
+    r = random.Random(12)
+    rows = [(i, r.choice([1, 2, 3]), r.choice([2e16, -2e16, 0.01, -0.01, 5.0, 1e300, -1e300, float("inf")]), T0 + timedelta(days=r.choice([0, 1, 6, 7, 29, 30, 31, 60, 200]))) for i in range(60)]
+    daily = daily_totals(spark.createDataFrame([(i, c, x, t) for i, c, x, t in rows], "id long, c long, total double, at timestamp_ntz"), "c", "total", "at", "id")
+    cents = lambda x: int(Decimal(repr(max(-1e30, min(1e30, x)) * 100))) if abs(x) > 1 else round(x * 100)
+    want = {}
+    for _, c, x, t in rows:
+        if x < float("inf"):
+            want[c, (t - datetime(1970, 1, 1)).days] = want.get((c, (t - datetime(1970, 1, 1)).days), 0) + cents(x)
+    assert {(x["entity"], x["day"]): int(x["cents"]) for x in daily.collect()} == want
+    both = [sorted(map(tuple, rolling_extremes(rolling_totals(daily, every_day=e)).collect())) for e in (True, False)]
+    assert both[0] == both[1] and len(both[0]) == 12
+    few = rolling_totals(daily, every_day=False)
+    assert few.count() == few.select("entity", "day").distinct().count() < rolling_totals(daily).count()
+
+
 def test_rolling_empty(spark):
     daily = daily_totals(spark.createDataFrame([], ORDERS), "c", "total", "at", "id")
     assert rolling_extremes(rolling_totals(daily)).count() == 0
 
 
+@pytest.mark.parametrize("batch", ["10000", "1"])
+def test_copies_repeated_at_the_same_time(spark, batch):
+    """Which of two rows of equal key and time counts does not depend on the batch they come in: the smaller values, nulls last."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    kinds = "k long, v string, w int, at timestamp_ntz"
+    p = spark.createDataFrame([(1, "a", None, T0), (2, "z", 5, T0)], kinds)
+    r = spark.createDataFrame([(1, None, None, T0), (1, "a", None, T0), (2, "z", None, T0), (2, "z", 5, T0), (2, "b", 1, None)], kinds).coalesce(1)
+    assert copy_differences(p, r, "k", ["v", "w"], "at").count() == 0
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def readings(spark, runs, **kw):
     """runs: lists of values; each becomes a source with a reading a minute."""
     rows = [(1000 * r + i, f"run{r}", T0 + timedelta(minutes=i), v, 1000.0, "clash", 1) for r, vs in enumerate(runs) for i, v in enumerate(vs)]
