@@ -18,13 +18,15 @@ def _on(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     return out
 
 
-def insert(target: DataFrame, rows: DataFrame) -> DataFrame:
-    """Appends; columns that rows lacks are NULL."""
-    return target.unionByName(rows, allowMissingColumns=True)
+def insert(target: DataFrame, rows: DataFrame, defaults: Mapping[str, Column] | None = None) -> DataFrame:
+    """Appends; columns that rows lacks have their default, else NULL. A row without columns is INSERT DEFAULT VALUES."""
+    kinds = {f.name: f.dataType for f in target.schema}
+    lacking = {c: v.cast(kinds[c]) for c, v in (defaults or {}).items() if c not in rows.columns}
+    return target.unionByName(rows.withColumns(lacking) if lacking else rows, allowMissingColumns=True)
 
 
 def last_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Of rows with equal keys the last in order; rows with a NULL key all stay."""
+    """Of rows with equal keys the first in order (an order that begins with the latest keeps the last); rows with a NULL key all stay."""
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()
@@ -45,8 +47,15 @@ def insert_ignore(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFr
 def merge(target: DataFrame, source: DataFrame, keys: list[str], update: Mapping[str, Column] | None = None, update_if: Column | None = None, delete_if: Column | None = None, insert: Mapping[str, Column] | None = None, delete_unmatched_by_source: bool = False) -> DataFrame:
     """MERGE as one full outer join. Expressions name columns as t.x (target) and s.x (source); insert None inserts nothing.
 
-    Matched rows are deleted where delete_if holds, else updated where update_if (or no condition) holds.
+    Matched rows are deleted where delete_if holds, else updated where update_if (or no condition) holds. Source rows
+    must be unique by key, or the query fails as it runs (see last_per_key); rows with a NULL key match nothing.
     """
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    twice = known & (F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1)
+    source = source.withColumn("_twice", F.when(twice, F.raise_error(F.lit(f"several source rows of a MERGE have the same {', '.join(keys)}"))).otherwise(F.lit(1)))
+    source = source.where("_twice = 1").drop("_twice")
     t, s = target.withColumn("_t", F.lit(1)).alias("t"), source.withColumn("_s", F.lit(1)).alias("s")
     cond = F.col(f"t.{keys[0]}") == F.col(f"s.{keys[0]}")
     for k in keys[1:]:
@@ -77,15 +86,27 @@ def upsert(target: DataFrame, rows: DataFrame, keys: list[str], update: Mapping[
     return merge(target, rows, keys, update, insert={c: F.col(f"s.{c}") for c in rows.columns})
 
 
+def _first_rows(df: DataFrame, where: Column, order: list[Column] | None, limit: int) -> DataFrame:
+    """df with `_hit`: true for the first `limit` rows, in order, for which the condition holds. Of equal rows as many as needed are hit.
+
+    Only those rows are sorted, by the top-n operator; equal rows of a content are numbered, and that many are hit.
+    """
+    columns = df.columns
+    best = df.where(where).orderBy(*(order or [])).limit(limit).toDF(*[f"_c{i}" for i in range(len(columns))])
+    best = best.groupBy(*best.columns).agg(F.count(F.lit(1)).alias("_most"))
+    same = F.lit(True)
+    for i, c in enumerate(columns):
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"_c{i}"))
+    out = df.join(F.broadcast(best) if limit <= 10_000 else best, same, "left").select(*columns, "_most")
+    some = out.where("_most IS NOT NULL").withColumn("_n", F.row_number().over(Window.partitionBy(*columns).orderBy("_most")))
+    hit = some.select(*columns, (F.col("_n") <= F.col("_most")).alias("_hit"))
+    return out.where("_most IS NULL").select(*columns, F.lit(False).alias("_hit")).unionByName(hit)
+
+
 def update(target: DataFrame, changes: Mapping[str, Column], where: Column | None = None, order: list[Column] | None = None, limit: int | None = None) -> DataFrame:
-    """UPDATE ... SET ... WHERE ... ORDER BY ... LIMIT: all changes see the old row."""
+    """UPDATE ... SET ... WHERE ... ORDER BY ... LIMIT: all changes see the old row; a limit holds among equal rows too."""
     hit = F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)
-    df = target.withColumn("_hit", hit)
-    if limit is not None:
-        first = df.where("_hit").orderBy(*(order or [])).limit(limit).withColumn("_first", F.lit(True))
-        df = df.withColumn("_id", F.xxhash64(*target.columns))
-        first = first.select(F.xxhash64(*target.columns).alias("_id"), "_first").distinct()
-        df = df.join(F.broadcast(first) if limit <= 10_000 else first, "_id", "left").withColumn("_hit", F.coalesce("_first", F.lit(False)))
+    df = target.withColumn("_hit", hit) if limit is None else _first_rows(target, hit, order, limit)
     kinds = {f.name: f.dataType for f in target.schema}
     return df.select(*[(F.when(F.col("_hit"), changes[c]).otherwise(F.col(c)).cast(kinds[c]) if c in changes else F.col(c)).alias(c) for c in target.columns])
 
@@ -95,8 +116,10 @@ def update_from(target: DataFrame, source: DataFrame, keys: list[str], changes:
     return merge(target, source, keys, changes, update_if=where)
 
 
-def delete(target: DataFrame, where: Column) -> DataFrame:
-    """Rows for which the condition is true go; those for which it is NULL stay."""
+def delete(target: DataFrame, where: Column, order: list[Column] | None = None, limit: int | None = None) -> DataFrame:
+    """Rows for which the condition is true go; those for which it is NULL stay. With a limit, only the first in order go."""
+    if limit is not None:
+        return _first_rows(target, F.coalesce(where, F.lit(False)), order, limit).where("NOT _hit").drop("_hit")
     return target.where(~F.coalesce(where, F.lit(False)))
 
 

@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import dml
-from tessera.session import table
+from tessera.session import shared_folder, table
 from tessera.sources import catalog, files
 from tessera.streaming import events as ev
 
 
 def scratch(spark: SparkSession) -> str:
     """A new folder for files, in the shared folder the cluster names, else in the local temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tessera-scratch")
-    return f"{root}/files-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark, 'tessera-scratch')}/files-{uuid.uuid4().hex}"
 
 
 def _suppliers(spark: SparkSession, d: str) -> DataFrame:
@@ -151,7 +148,47 @@ def src_parquet_roundtrip(spark, d):
     path = scratch(spark)
     o = table(spark, d, "orders").select("o_orderkey", "o_orderdate", F.col("o_totalprice").cast("decimal(15,2)").alias("o_totalprice"), (F.col("o_orderkey") % 3).alias("part"))
     files.write_parquet(o, path, partition_by=["part"])
-    return files.read_parquet(spark, path).where("part = 1").select("o_orderkey", "o_orderdate", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    return files.read_parquet(spark, path).select("o_orderkey", "o_orderdate", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+
+
+def src_parquet_pruned(spark, d):
+    """One partition of the same; the others' files are not read."""
+    path = scratch(spark)
+    files.write_parquet(table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 3).alias("part")), path, partition_by=["part"])
+    return files.read_parquet(spark, path).where("part = 1").select("o_orderkey")
+
+
+def src_bucketed(spark, d):
+    """Two tables bucketed by their join key, joined without a shuffle, and a range of the key read from one."""
+    a, b = f"orders_{uuid.uuid4().hex}", f"lines_{uuid.uuid4().hex}"
+    files.write_bucketed(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), a, ["o_orderkey"], 8, f"{scratch(spark)}/{a}")
+    files.write_bucketed(table(spark, d, "lineitem").select("l_orderkey", "l_quantity"), b, ["l_orderkey"], 8, f"{scratch(spark)}/{b}")
+    o, l = spark.table(a), spark.table(b)
+    return o.where("o_orderkey BETWEEN 100 AND 5000").join(l, o["o_orderkey"] == l["l_orderkey"]).groupBy("o_orderpriority").agg(F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+def dml_delete_limit(spark, d):
+    return dml.delete(_suppliers(spark, d), F.col("s_acctbal") > 0, order=[F.desc("s_acctbal"), F.col("s_suppkey")], limit=5)
+
+
+def dml_update_repeated(spark, d):
+    """One of several equal rows changes, not all of them."""
+    twice = _suppliers(spark, d).select("s_nationkey").where("s_nationkey < 5")
+    return dml.update(twice, {"s_nationkey": F.lit(99)}, F.col("s_nationkey") == 3, order=[F.col("s_nationkey")], limit=1)
+
+
+def dml_merge_last(spark, d):
+    """Several source rows for a key: the first in a stated order counts."""
+    news = _news(spark, d)
+    several = news.unionByName(news.withColumn("s_acctbal", F.col("s_acctbal") - 500)).withColumn("n", F.col("s_acctbal"))
+    return dml.upsert(_suppliers(spark, d), dml.last_per_key(several, ["s_suppkey"], [F.col("n")]).drop("n"), ["s_suppkey"])
+
+
+def dml_insert_defaults(spark, d):
+    """INSERT ... DEFAULT VALUES, and rows that name some columns only."""
+    defaults = {"s_name": F.lit("none"), "s_acctbal": F.lit(0.0)}
+    s = dml.insert(_suppliers(spark, d), spark.range(2).select((F.col("id") + 2_000_000).alias("s_suppkey")), defaults)
+    return dml.insert(s, spark.range(1).select(), defaults)
 
 
 def src_row_count(spark, d):
@@ -214,7 +251,13 @@ DEFS = {
     "src_csv_tbl": (src_csv_tbl, "SELECT n_nationkey, n_name, nullif(n_regionkey, 0) AS n_regionkey FROM nation"),
     "src_tbl_inferred": (src_tbl_inferred, "SELECT c_custkey, c_name, c_acctbal FROM customer"),
     "src_outfile_load": (src_outfile_load, "SELECT s_suppkey, s_name || ', \"x\"' AS s_name, nullif(s_nationkey, 1) AS s_nationkey FROM supplier"),
-    "src_parquet_roundtrip": (src_parquet_roundtrip, "SELECT o_orderkey, o_orderdate, round(o_totalprice, 2) AS o_totalprice FROM orders WHERE o_orderkey % 3 = 1"),
+    "src_parquet_roundtrip": (src_parquet_roundtrip, "SELECT o_orderkey, o_orderdate, round(o_totalprice, 2) AS o_totalprice FROM orders"),
+    "src_parquet_pruned": (src_parquet_pruned, "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 1"),
+    "src_bucketed": (src_bucketed, "SELECT o_orderpriority, round(sum(l_quantity), 2) AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey BETWEEN 100 AND 5000 GROUP BY o_orderpriority"),
+    "dml_delete_limit": (dml_delete_limit, f"{_T} supplier WHERE s_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0 ORDER BY s_acctbal DESC, s_suppkey LIMIT 5)"),
+    "dml_update_repeated": (dml_update_repeated, "SELECT CASE WHEN s_nationkey = 3 AND row_number() OVER (PARTITION BY s_nationkey) = 1 THEN 99 ELSE s_nationkey END AS s_nationkey FROM supplier WHERE s_nationkey < 5"),
+    "dml_merge_last": (dml_merge_last, f"WITH {_NEWS}, last AS (SELECT s_suppkey, s_name, s_nationkey, s_acctbal - 500 AS s_acctbal FROM news) {_T} supplier WHERE s_suppkey NOT IN (SELECT s_suppkey FROM news) UNION ALL {_T} last"),
+    "dml_insert_defaults": (dml_insert_defaults, f"{_T} supplier UNION ALL SELECT * FROM (VALUES (2000000, 'none', NULL, 0.0), (2000001, 'none', NULL, 0.0), (NULL, 'none', NULL, 0.0)) v"),
     "src_row_count": (src_row_count, "SELECT count(*) AS n FROM lineitem"),
     "src_catalog_columns": (src_catalog_columns, "SELECT * FROM (VALUES ('n_nationkey', 'int'), ('n_name', 'string'), ('n_regionkey', 'int')) v(column_name, data_type)"),
     "src_view": (src_view, "SELECT count(*) AS n, round(max(c_acctbal), 2) AS top FROM customer WHERE c_acctbal > 9000"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans.dialect import to_spark
+from tessera.plans.dialect import run as run_sql
 from tessera.session import register_tables
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings products customers oltp_orders order_items key_deletions customer_primary customer_replica nation_primary nation_replica supplier_list metrics".split()
@@ -25,7 +25,7 @@ def sql_query(sql: str) -> Query:
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         register_tables(spark, d, tables_in(sql))
-        return spark.sql(to_spark(sql))
+        return run_sql(spark, sql)
 
     run.__doc__ = sql
     return run

@@ -34,7 +34,7 @@ SAME = {
     "case_subquery": "SELECT n_nationkey, CASE WHEN n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900) THEN 'rich' ELSE 'other' END AS kind FROM nation",
     "distinct": "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders",
     "exists": "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')",
-    "not_exists": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)",
+    "not_exists": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')",
     "any_greater": "SELECT s_suppkey FROM supplier WHERE s_acctbal > ANY (SELECT c_acctbal FROM customer WHERE c_nationkey = 3)",
     "all_greater": "SELECT s_suppkey FROM supplier WHERE s_acctbal > ALL (SELECT c_acctbal FROM customer WHERE c_nationkey = 3 AND c_acctbal < 5000)",
     "all_empty": "SELECT s_suppkey FROM supplier WHERE s_acctbal > ALL (SELECT c_acctbal FROM customer WHERE c_nationkey = 999)",
@@ -53,7 +53,7 @@ SAME = {
     "join_full": "SELECT p.c_custkey AS p_key, r.c_custkey AS r_key FROM (SELECT DISTINCT c_custkey FROM customer_primary) p FULL OUTER JOIN (SELECT DISTINCT c_custkey FROM customer_replica) r ON p.c_custkey = r.c_custkey WHERE p.c_custkey IS NULL OR r.c_custkey IS NULL",
     "join_cross": "SELECT r_name, s.o_orderstatus FROM region CROSS JOIN (SELECT DISTINCT o_orderstatus FROM orders) s",
     "join_comma": "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey AND n_nationkey > 10",
-    "join_natural": "SELECT * FROM (SELECT c_nationkey AS k, c_custkey FROM customer WHERE c_custkey <= 50) a NATURAL JOIN (SELECT s_nationkey AS k, s_suppkey FROM supplier) b",
+    "join_natural": "SELECT * FROM (SELECT c_nationkey AS k, count(*) AS customers FROM customer GROUP BY c_nationkey) a NATURAL JOIN (SELECT s_nationkey AS k, s_suppkey FROM supplier) b",
     "join_natural_left": "SELECT * FROM (SELECT n_nationkey AS k, n_name FROM nation) a NATURAL LEFT JOIN (SELECT s_nationkey AS k, s_suppkey FROM supplier WHERE s_acctbal < 0) b",
     "join_using": "SELECT * FROM (SELECT o_custkey AS id, o_orderstatus AS st, count(*) AS orders FROM orders GROUP BY o_custkey, o_orderstatus) a JOIN (SELECT c_custkey AS id, 'F' AS st, c_name FROM customer) b USING (id, st)",
     "join_theta": "SELECT a.n_nationkey AS x, b.r_regionkey AS y FROM nation a JOIN region b ON a.n_nationkey < b.r_regionkey * 3",
@@ -95,13 +95,13 @@ SAME = {
     "order_limit": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
     "order_limit_offset": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 5 OFFSET 20",
     "limit_zero": "SELECT o_orderkey FROM orders LIMIT 0",
-    "order_nulls": "SELECT o_id, o_total FROM (SELECT DISTINCT o_id, o_total FROM oltp_orders) t ORDER BY o_total ASC NULLS FIRST, o_id LIMIT 50",
-    "order_nulls_last": "SELECT o_id, o_total FROM (SELECT DISTINCT o_id, o_total FROM oltp_orders) t ORDER BY o_total DESC NULLS LAST, o_id LIMIT 50",
+    "order_nulls": "SELECT o_id, o_total FROM (SELECT DISTINCT o_id, o_total FROM oltp_orders) t ORDER BY o_total ASC NULLS FIRST, o_id",
+    "order_nulls_last": "SELECT o_id, o_total FROM (SELECT DISTINCT o_id, o_total FROM oltp_orders) t ORDER BY o_total DESC NULLS LAST, o_id",
     # set operations, CTEs, values
     "set_union_all": "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier",
     "set_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier UNION SELECT n_nationkey FROM nation",
     "set_intersect": "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'",
-    "set_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "set_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'",
     "set_intersect_all": "SELECT s_nationkey AS k FROM supplier INTERSECT ALL SELECT c_nationkey FROM customer",
     "set_except_all": "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier",
     "set_nulls_equal": "SELECT nullif(n_regionkey, 0) AS k FROM nation INTERSECT SELECT nullif(r_regionkey, 0) FROM region",
@@ -128,7 +128,7 @@ PAIRS = {
     "rollup_mixed": ("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY l_returnflag, ROLLUP (l_linestatus)", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)"),
     "any_value_group": ("SELECT c_nationkey, any_value(c_nationkey * 2) AS same, max(c_custkey) AS m FROM customer GROUP BY c_nationkey", "SELECT c_nationkey, any_value(c_nationkey * 2) AS same, max(c_custkey) AS m FROM customer GROUP BY c_nationkey"),
     "json_group": ("SELECT n_regionkey, to_json(sort_array(collect_list(n_nationkey))) AS keys FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, CAST(to_json(list(n_nationkey ORDER BY n_nationkey)) AS VARCHAR) AS keys FROM nation GROUP BY n_regionkey"),
-    "quantile_array": ("SELECT c_nationkey, percentile(c_acctbal, array(0.25, 0.5, 0.75)) AS q FROM customer GROUP BY c_nationkey", "SELECT c_nationkey, quantile_cont(c_acctbal, [0.25, 0.5, 0.75]) AS q FROM customer GROUP BY c_nationkey"),
+    "quantile_array": ("SELECT c_nationkey, transform(percentile(c_acctbal, array(0.25, 0.5, 0.75)), x -> round(x, 6)) AS q FROM customer GROUP BY c_nationkey", "SELECT c_nationkey, list_transform(quantile_cont(c_acctbal, [0.25, 0.5, 0.75]), lambda x: round(x, 6)) AS q FROM customer GROUP BY c_nationkey"),
     "iif_division": ("SELECT o_orderkey, IIF(o_totalprice > 200000, 'a', 'b') AS k, o_orderkey DIV 7 AS d, o_orderkey % 7 AS m FROM orders", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'a' ELSE 'b' END AS k, o_orderkey // 7 AS d, o_orderkey % 7 AS m FROM orders"),
     "table_hints": ("SELECT /*+ BROADCAST(n) */ s_suppkey, n_name FROM supplier s USE INDEX (ix) JOIN nation n ON s_nationkey = n_nationkey FOR UPDATE SKIP LOCKED", "SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey"),
     "generate_series": ("SELECT id AS value FROM range(3, 31, 4)", "SELECT CAST(unnest(generate_series(3, 30, 4)) AS BIGINT) AS value"),
@@ -142,7 +142,7 @@ def right_semi(spark: SparkSession, d: str) -> DataFrame:
 
 
 def right_anti(spark: SparkSession, d: str) -> DataFrame:
-    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    o, c = table(spark, d, "orders").where("o_totalprice > 300000"), table(spark, d, "customer")
     return R.right_anti(o, c, o["o_custkey"] == c["c_custkey"]).select("c_custkey")
 
 
@@ -220,7 +220,7 @@ def cte_recursive_distinct(spark: SparkSession, d: str) -> DataFrame:
 
 API = {
     "join_right_semi": (right_semi, "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)"),
-    "join_right_anti": (right_anti, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "join_right_anti": (right_anti, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)"),
     "not_in_nullaware": (null_aware_anti, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)"),
     "join_broadcast_checked": (broadcast_checked, "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"),
     "join_range_bucketed": (range_join, "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_acctbal BETWEEN s_acctbal AND s_acctbal + 25.0"),

@@ -39,12 +39,19 @@ def register_tables(spark: SparkSession, sf_dir: str, names: list[str]) -> None:
         table(spark, sf_dir, n).createOrReplaceTempView(n)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint df into the shared folder the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only on a single machine (local tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    return os.path.join(tempfile.gettempdir(), name)
+
 
-    A folder of our own is made only where that setting is unset (local tests).
-    """
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint df into the shared folder the cluster names in spark.checkpoint.dir."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tessera-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession, "tessera-checkpoints"))
     return df.checkpoint()

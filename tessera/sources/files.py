@@ -23,9 +23,10 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
-def write_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int) -> None:
-    """A table bucketed and sorted by keys: joins and groupings on them need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+def write_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int, path: str | None = None) -> None:
+    """A table bucketed and sorted by keys: joins and groupings on them need no shuffle. path: where its files lie, else the warehouse."""
+    writer = df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def read_tbl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:

@@ -131,3 +131,35 @@ def test_stated_queries_are_searched_by_every_metric_filter_and_shard():
     from tessera.plans import retrieval
 
     assert {f"vec_each{x}" for x in ("", "_dot", "_euclidean", "_manhattan", "_filtered", "_sharded")} <= set(retrieval.QUERIES) & set(retrieval.ORACLES)
+
+
+def test_merge_needs_unique_source_keys(spark):
+    from tessera.operators import dml
+
+    t = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "k int, v string")
+    twice = spark.createDataFrame([(1, "x"), (1, "y")], "k int, v string")
+    with pytest.raises(Exception, match="several source rows"):
+        dml.upsert(t, twice, ["k"]).collect()
+    nulls = spark.createDataFrame([(None, "x"), (None, "y"), (2, "z")], "k int, v string")
+    assert sorted(map(str, dml.upsert(t, nulls, ["k"]).collect())) == sorted(map(str, [*t.where("k = 1 OR k IS NULL").collect(), *nulls.collect()]))
+
+
+def test_limits_hold_among_equal_rows(spark):
+    from tessera.operators import dml
+
+    t = spark.createDataFrame([(1, None)] * 3 + [(2, "b")], "k int, v string")
+    one = [F.col("k")]
+    assert sorted(r["k"] for r in dml.update(t, {"k": F.lit(9)}, F.col("k") == 1, one, 1).collect()) == [1, 1, 2, 9]
+    assert sorted(r["k"] for r in dml.delete(t, F.col("k") < 5, one, 2).collect()) == [1, 2]
+    assert dml.delete(t, F.lit(True), one, 0).count() == 4 and dml.delete(t, F.lit(True), one, 9).count() == 0
+
+
+def test_dialect_errors():
+    from tessera.plans.dialect import to_spark
+
+    for text, what in (("SELECT DATE_TRUNC('decade', d) FROM t", "unknown unit"), ("SELECT DATE(d, 'sideways') FROM t", "unknown modifier"), ("SELECT STRCMP('a') FROM t", "does not take")):
+        with pytest.raises(ValueError, match=what):
+            to_spark(text)
+    kept = "SELECT a, count(*) FROM t GROUP BY ALL; SELECT INTERVAL '1' DAY, INTERVAL (2) DAY, 'CONCAT(a)' -- FIELD(x)"
+    assert to_spark(kept) == kept
+    assert to_spark("SELECT a FROM t ORDER BY a, b DESC NULLS LAST LIMIT 2", "first") == "SELECT a FROM t ORDER BY a NULLS FIRST, b DESC NULLS LAST LIMIT 2"

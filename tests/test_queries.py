@@ -6,7 +6,7 @@ import pytest
 from compare import compare, duck
 
 D = "/root/testdata/sf0.001"
-MODULES = [importlib.import_module(f"tessera.plans.{m}") for m in ("tpch", "relational", "scalars", "changes", "extras", "retrieval", "data_quality")]
+MODULES = [importlib.import_module(f"tessera.plans.{m}") for m in ("tpch", "relational", "scalars", "sql_text", "changes", "extras", "retrieval", "data_quality")]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
 
@@ -31,6 +31,24 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
+def test_entry_hides_no_error(tmp_path):
+    """Without the subpackage its queries are left out; an error inside it comes out."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "tessera", tmp_path / "tessera", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    ask = [sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), 'p1_found' in e.queries(), 'p9_found' in e.queries())"]
+    assert subprocess.run(ask, cwd=tmp_path, capture_output=True, text=True).stdout.split()[1:] == ["True", "False"]
+    (tmp_path / "tessera" / "llm").mkdir()
+    (tmp_path / "tessera" / "llm" / "__init__.py").touch()
+    (tmp_path / "tessera" / "llm" / "queries.py").write_text("import a_module_that_is_not_there")
+    assert "a_module_that_is_not_there" in subprocess.run(ask, cwd=tmp_path, capture_output=True, text=True).stderr
+
+
 def test_core_does_not_need_llm():
     """Nothing outside the subpackage names it, but for the entry, which tries to import it."""
     from pathlib import Path
