@@ -54,32 +54,49 @@ def _each_sql(k: int, metric: str = "cosine", where: str = "true") -> str:
     return f"WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0) SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY {_DIST[metric]} DESC, vec_id) AS rank FROM embeddings, q WHERE vec_id <> query_id AND {where} QUALIFY rank <= {k}"
 
 
-def vec_ivf(spark: SparkSession, d: str) -> DataFrame:
+def _recall(exact: DataFrame, found: DataFrame, rows: DataFrame, read: float) -> DataFrame:
+    """recall of found, whether it is 0.9 or more, and the share of the vectors that were read whole."""
+    n, of = exact.agg(F.count(F.lit(1)).alias("n")), rows.agg(F.count(F.lit(1)).alias("rows"))
+    hits = exact.join(found, ["query_id", "vec_id"]).agg(F.count(F.lit(1)).alias("hits"))
+    share = F.round(F.lit(float(read)), 4) if read <= 1 else F.round(F.least(F.lit(1.0), F.lit(float(read)) / F.col("rows")), 4)
+    recall = F.col("hits") / F.col("n")
+    return hits.crossJoin(n).crossJoin(of).select((recall >= 0.9).alias("good"), F.round(recall, 4).alias("recall"), share.alias("read_share"))  # single rows
+
+
+def _ivf_recall(spark: SparkSession, d: str) -> DataFrame:
     """Recall of the inverted lists, four fifths of them read, over the stated queries (ids divisible by 100), against brute force."""
     e = table(spark, d, "embeddings")
     queries = e.where("vec_id % 100 = 0")
-    exact = V.nearest_of_each(queries, e, 10)
-    found = V.IvfIndex(e, 16).search_each(queries, 10, share=0.8)
-    n = exact.agg(F.count(F.lit(1)).alias("n"))
-    return exact.join(found, ["query_id", "vec_id"]).agg(F.count(F.lit(1)).alias("hits")).crossJoin(n).select((F.col("hits") / F.col("n")).alias("recall"))  # two single rows
+    return _recall(V.nearest_of_each(queries, e, 10), V.IvfIndex(e, 16).search_each(queries, 10, share=0.8), e, 13 / 16)
+
+
+def vec_recall_figures(spark: SparkSession, d: str) -> DataFrame:
+    """method, recall against brute force, and the share of the vectors that were read whole."""
+    named = {"inverted lists": _ivf_recall, "product codes": _pq_search_recall, "sign hashes": _lsh_recall}
+    parts = [f(spark, d).select(F.lit(n).alias("method"), "recall", "read_share") for n, f in named.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def vec_pq(spark: SparkSession, d: str) -> DataFrame:
     """Mean squared error of product quantization, as a share of the vectors' mean square."""
     e = table(spark, d, "embeddings")
-    pq = V.ProductQuantizer(e, 8)
+    pq = V.ProductQuantizer(e, 16)
     out = pq.decode(pq.encode(e))
     return out.agg((F.avg(F.pow(V.euclidean(F.col("embedding"), F.col("approx")), 2)) / F.avg(F.pow(V.norm(F.col("embedding")), 2))).alias("error_share"))
 
 
-def vec_lsh(spark: SparkSession, d: str) -> DataFrame:
-    """Recall of random-projection hashing over the stated queries, against brute force."""
+def _pq_search_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of product codes, fifty candidates a query ranked by their vectors, over the stated queries, against brute force."""
+    e = table(spark, d, "embeddings")
+    queries, pq = e.where("vec_id % 100 = 0"), V.ProductQuantizer(e, 16)
+    return _recall(V.nearest_of_each(queries, e, 10), pq.search_each(pq.encode(e), queries, 10, 50), e, 50)
+
+
+def _lsh_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of sign hashes, a hundred candidates a query ranked by their vectors, over the stated queries, against brute force."""
     e = table(spark, d, "embeddings")
     queries = e.where("vec_id % 100 = 0")
-    exact = V.nearest_of_each(queries, e, 10, "euclidean")
-    found = V.lsh_nearest(queries, e, 10)
-    n = exact.agg(F.count(F.lit(1)).alias("n"))
-    return exact.join(found, ["query_id", "vec_id"]).agg(F.count(F.lit(1)).alias("hits")).crossJoin(n).select((F.col("hits") / F.col("n")).alias("recall"))  # two single rows
+    return _recall(V.nearest_of_each(queries, e, 10), V.lsh_nearest(queries, e, 10, 100), e, 100)
 
 
 def match_against(spark: SparkSession, d: str) -> DataFrame:
@@ -228,9 +245,11 @@ DEFS = {f"vec_flat_{m}": (_knn(m), f"WITH {_VQ} SELECT vec_id, round(s, 5) AS sc
     **{f"vec_each_{m}": (_each(10, m), _each_sql(10, m)) for m in _DIST if m != "cosine"},
     "vec_each_filtered": (_each(5, where="label = 3"), _each_sql(5, where="label = 3")),
     "vec_each_sharded": (_each(10, shards=8), _each_sql(10)),
-    "vec_ivf_recall": (vec_ivf, None),
+    "vec_ivf_recall": (lambda spark, d: _ivf_recall(spark, d).select("good"), "SELECT true AS good"),
     "vec_pq_error": (vec_pq, None),
-    "vec_lsh_recall": (vec_lsh, None),
+    "vec_pq_recall": (lambda spark, d: _pq_search_recall(spark, d).select("good"), "SELECT true AS good"),
+    "vec_lsh_recall": (lambda spark, d: _lsh_recall(spark, d).select("good"), "SELECT true AS good"),
+    "vec_recall_figures": (vec_recall_figures, None),
     "text_match_against": (match_against, "WITH w AS (SELECT p_partkey AS doc_id, unnest(regexp_split_to_array(lower(p_name), '[^a-z0-9]+')) AS term FROM part), tf AS (SELECT term, doc_id, count(*) AS tf FROM w WHERE length(term) > 1 GROUP BY ALL), n AS (SELECT count(DISTINCT doc_id) AS n FROM tf), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term) SELECT doc_id, round(sum(tf * ln(1 + n / df)), 6) AS score FROM tf JOIN df USING (term), n WHERE term IN ('red', 'gear') GROUP BY doc_id"),
     "text_terms": (text_terms, "WITH w AS (SELECT p_partkey, unnest(regexp_split_to_array(lower(p_name), '[^a-z0-9]+')) AS term FROM part) SELECT term, count(*) AS tf, count(DISTINCT p_partkey) AS df FROM w WHERE length(term) > 1 GROUP BY term"),
     "text_index_search": (text_search, "SELECT p_partkey AS doc_id FROM part WHERE list_contains(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), 'red') AND list_contains(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), 'widget')"),

@@ -163,3 +163,18 @@ def test_dialect_errors():
     kept = "SELECT a, count(*) FROM t GROUP BY ALL; SELECT INTERVAL '1' DAY, INTERVAL (2) DAY, 'CONCAT(a)' -- FIELD(x)"
     assert to_spark(kept) == kept
     assert to_spark("SELECT a FROM t ORDER BY a, b DESC NULLS LAST LIMIT 2", "first") == "SELECT a FROM t ORDER BY a NULLS FIRST, b DESC NULLS LAST LIMIT 2"
+
+
+def test_vector_searches_of_odd_rows(spark):
+    """Null and empty vectors, those of another length, repeated ids and an empty table."""
+    rows = [(i, [float(i % 5), 1.0, float(i)]) for i in range(40)] + [(50, None), (51, []), (52, [1.0, 2.0]), (None, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    some = df.where("vec_id IN (7, 50, 51, 52)")
+    exact = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in V.nearest_of_each(some, df, 3).collect())
+    assert [r[:2] for r in exact] == [(7, 1), (7, 2), (7, 3)]
+    same = df.where("size(embedding) = 3")
+    pq = V.ProductQuantizer(same, 3, centres=40)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in pq.search_each(pq.encode(same), same.where("vec_id = 7"), 3, 39).collect()) == exact
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in V.lsh_nearest(some.where("vec_id = 7"), same, 3, 39).collect()) == exact
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in V.IvfIndex(same, 4).search_each(some.where("vec_id = 7"), 3, share=1.0).collect()) == exact
+    assert V.nearest_of_each(some, df.where("false"), 3).count() == 0 and V.nearest_of_each(df.where("false"), df, 3).count() == 0
