@@ -97,26 +97,33 @@ ASIDES = (
 _ASIDE = re.compile("|".join(p if _HAN.match(p) else rf"\b{p}\b" for p in ASIDES))
 
 
+_ASIDE_START = re.compile("|".join(sorted({re.escape(p[:4]) for p in ASIDES})))
+
+
 def is_aside(sentence: str) -> bool:
     low = sentence.lower()
-    return any(p in low for p in ASIDES) and _ASIDE.search(low) is not None
+    return _ASIDE_START.search(low) is not None and _ASIDE.search(low) is not None
 
 
 LANGUAGES = (*FUNCTION_WORDS, "zh")
 _LANGUAGES_OF = {w: tuple(i for i, lang in enumerate(FUNCTION_WORDS) if w in FUNCTION_WORDS[lang]) for known in FUNCTION_WORDS.values() for w in known}
 
 
-def language_marks(sentence: str) -> tuple[int, ...]:
-    """How much speaks for each of LANGUAGES: two for each of its function words, one for each Chinese sign."""
-    low, n = sentence.lower(), [0] * len(LANGUAGES)
-    for w in _WORD.findall(low):
+def _marks(words: list[str], signs: int) -> tuple[int, ...]:
+    n = [0] * len(LANGUAGES)
+    for w in words:
         for i in _LANGUAGES_OF.get(w, ()):
             n[i] += 2
-    if not low.isascii():
-        n[-1] = sum(map(len, _HAN.findall(low)))
+    n[-1] = signs
     return tuple(n)
 
 
+def language_marks(sentence: str) -> tuple[int, ...]:
+    """How much speaks for each of LANGUAGES: two for each of its function words, one for each Chinese sign."""
+    low = sentence.lower()
+    return _marks(_WORD.findall(low), 0 if low.isascii() else sum(map(len, _HAN.findall(low))))
+
+
 def language_of(marks: list[int]) -> str:
     """The language for which most speaks; the first of LANGUAGES if nothing does."""
     return LANGUAGES[max(range(len(LANGUAGES)), key=lambda i: marks[i])]
@@ -132,9 +139,21 @@ def language(sents: list[str]) -> str:
 
 def features(sentence: str) -> list[str]:
     """Words and pairs of neighbouring words, and two to four neighbouring Chinese signs, each once."""
-    s = sentence.lower().replace("_", " ").replace("-", " ")
-    grams = [] if s.isascii() else [run[i : i + n] for run in _HAN.findall(s) for n in (2, 3, 4) for i in range(len(run) - n + 1)]
-    if grams:
-        s = _HAN.sub(" ", s)
-    words = [w[:-1] if len(w) > 3 and w[-1] == "s" else w for w in _WORD.findall(s)]
+    low = sentence.lower()
+    runs = [] if low.isascii() else _HAN.findall(low)
+    return _features(_WORD.findall(_HAN.sub(" ", low) if runs else low), runs)
+
+
+def _features(words: list[str], runs: list[str]) -> list[str]:
+    grams = [run[i : i + n] for run in runs for n in (2, 3, 4) for i in range(len(run) - n + 1)]
+    words = [w[:-1] if len(w) > 3 and w[-1] == "s" else w for w in words]
     return list(dict.fromkeys([*words, *map(" ".join, zip(words, words[1:])), *grams]))
+
+
+def analysed(piece: str) -> tuple[list[str], tuple[int, ...]] | None:
+    """Features and language marks of a piece of text, None if it is no sentence: the same as the functions above, in one go."""
+    low = piece.lower()
+    if low.isascii():
+        words = _WORD.findall(low)
+        return (_features(words, []), _marks(words, 0)) if len(words) >= 2 else None
+    return (features(piece), language_marks(piece)) if is_sentence(piece) else None

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import spread
-from tessera.llm.sentences import FUNCTION_WORDS, LANGUAGES, features, is_aside, is_sentence, language_marks, language_of, parts, pieces, sentences
+from tessera.llm.sentences import FUNCTION_WORDS, LANGUAGES, analysed, features, is_aside, language_marks, language_of, parts, pieces, sentences
 
 LEAST_SHARE = 0.2
 MOST_LABELLED = 8_000  # documents whose labels the lexicon is fitted to; a sample by hash of doc_id where there are more
@@ -87,26 +87,25 @@ class Lexicon:
         """For each text and paragraph the class, rival and named subjects of each sentence. Sentences that are alike but for their digits are looked up."""
         if len(self.seen) >= SEEN_SENTENCES:
             self.seen.clear()
-        seen, new = self.seen, {}
+        seen, new, words = self.seen, {}, self.words
         docs = []
         for text in texts:
             paras = [[_DIGITS.sub("0", s) for s in pieces(p)] for p in parts(text)] if text else []
             for p in paras:
                 for s in p:
                     if s not in seen:
-                        seen[s] = None
-                        if is_sentence(s):
-                            new[s] = fs = features(s)
-                            seen[s] = Seen(language_marks(s), is_aside(s), tuple({self.words[f] for f in fs if f in self.words}))
+                        if (told := analysed(s)) is None:
+                            seen[s] = None
+                            continue
+                        new[s], marks = told
+                        seen[s] = Seen(marks, is_aside(s), tuple({words[f] for f in told[0] if f in words}))
             docs.append([k for p in paras if (k := [s for s in p if seen[s] is not None])])
         langs, wanted = [], {}
         for paras in docs:
-            marks = np.array([seen[s].marks for p in paras for s in p]).sum(axis=0) if paras else [0]
-            langs.append(language_of(marks) if paras else LANGUAGES[0])
-            for p in paras:
-                for s in p:
-                    if langs[-1] not in seen[s].classes:
-                        wanted.setdefault(langs[-1], {})[s] = None
+            each = [s for p in paras for s in p]
+            langs.append(lang := language_of(list(map(sum, zip(*[seen[s].marks for s in each])))) if paras else LANGUAGES[0])
+            if lacking := [s for s in each if lang not in seen[s].classes]:
+                wanted.setdefault(lang, {}).update(dict.fromkeys(lacking))
         for lang, some in wanted.items():
             for s in [s for s in some if seen[s].aside]:
                 seen[s].classes[lang] = (0, -1)
