@@ -10,7 +10,7 @@ from tessera.operators import text as T
 from tessera.operators import vector as V
 from tessera.operators.cypher import cypher
 from tessera.operators.graph import Graph
-from tessera.session import table
+from tessera.session import cut_lineage, table
 
 
 def _query_vector(spark: SparkSession, d: str) -> list[float]:
@@ -141,8 +141,45 @@ def text_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_hash_embedding(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select("p_partkey", T.hash_embedding(F.col("p_name"), 64).alias("v"))
-    return p.select("p_partkey", F.round(V.norm(F.col("v")), 6).alias("norm"))
+    v = T.hash_embeddings(table(spark, d, "part"), "p_partkey", "p_name")
+    return v.select("p_partkey", F.round(V.norm(F.col("embedding")), 6).alias("norm"))
+
+
+def docs_hash_embedding(spark: SparkSession, d: str) -> DataFrame:
+    v = T.hash_embeddings(table(spark, d, "documents"))
+    return v.select("doc_id", F.size("embedding").alias("dims"), F.round(V.norm(F.col("embedding")), 6).alias("norm"))
+
+
+def _docs_index(spark: SparkSession, d: str) -> DataFrame:
+    return T.inverted_index(table(spark, d, "documents"))
+
+
+def docs_terms(spark: SparkSession, d: str) -> DataFrame:
+    return _docs_index(spark, d).groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
+
+
+def docs_search(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of English, German and Chinese terms."""
+    i = cut_lineage(_docs_index(spark, d))  # read once for each search
+    found = [T.search_all(i, q).select(F.lit(" ".join(q)).alias("query"), "doc_id") for q in (["join", "order"], ["nicht", "zuständig"], ["没有"])]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def docs_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    return T.search_fuzzy(_docs_index(spark, d), ["histogramm", "latencyy"], 1)
+
+
+def docs_scores(spark: SparkSession, d: str) -> DataFrame:
+    s = T.keyword_scores(cut_lineage(_docs_index(spark, d)), ["cold", "cache", "histogram"])
+    return s.select("doc_id", F.round("score", 6).alias("score"))
+
+
+def vec_graph_join(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors joined with the edges of a graph (between rows of one label): of the ten nearest to each stated query, its neighbours in the graph."""
+    e = table(spark, d, "embeddings")
+    near = V.nearest_of_each(e.where("vec_id % 100 = 0"), e, 10)
+    label = lambda c: e.select(F.col("vec_id").alias(c), F.col("label").alias(f"{c}_label"))
+    return near.join(label("query_id"), "query_id").join(label("vec_id"), "vec_id").where("query_id_label = vec_id_label").select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 def doc_versions(spark: SparkSession, d: str) -> DataFrame:
@@ -258,6 +295,12 @@ DEFS = {f"vec_flat_{m}": (_knn(m), f"WITH {_VQ} SELECT vec_id, round(s, 5) AS sc
     "hybrid_weighted": (hybrid_weighted, "SELECT c_custkey AS doc_id, round(c_acctbal * 0.5::DOUBLE + CASE WHEN c_custkey % 2 = 0 THEN c_acctbal * 0.3::DOUBLE ELSE 0 END + CASE WHEN c_custkey % 3 = 0 THEN c_acctbal * 0.2::DOUBLE ELSE 0 END, 6) AS score FROM customer"),
     "text_chunks": (text_chunks, r"SELECT doc_id, CAST(length(regexp_replace(text, '\s+', '', 'g')) AS BIGINT) AS signs, true AS sound FROM documents WHERE length(regexp_replace(text, '\s+', '', 'g')) > 0"),
     "text_evidence": (text_evidence, None),
+    "text_docs_terms": (docs_terms, None),
+    "text_docs_search": (docs_search, None),
+    "text_docs_fuzzy": (docs_fuzzy, None),
+    "text_docs_scores": (docs_scores, None),
+    "text_docs_hash_embedding": (docs_hash_embedding, None),
+    "vec_graph_join": (vec_graph_join, f"SELECT query_id, f.vec_id, rank FROM ({_each_sql(10)}) f JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = f.vec_id WHERE a.label = b.label"),
     "text_hash_embedding": (text_hash_embedding, "SELECT p_partkey, 1.0::DOUBLE AS norm FROM part"),
     "doc_versions": (doc_versions, "SELECT doc_id, row_number() OVER (PARTITION BY doc_number ORDER BY version_number) AS version FROM documents"),
     "graph_one_hop": (graph_one_hop, "SELECT 's' || s_suppkey AS s, 'n' || s_nationkey AS n FROM supplier WHERE s_nationkey = 7"),

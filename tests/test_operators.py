@@ -78,7 +78,7 @@ def test_vectors(spark):
 def test_chunks(spark):
     text = "# Head\n\nfirst para\n\nsecond\n\n" + "x" * 40
     rows = T.chunks(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id int, text string"), 30).orderBy("chunk_index").collect()
-    assert [(r["chunk_index"], r["section_name"], r["content_text"]) for r in rows] == [(0, "Head", "# Head\n\nfirst para\n\nsecond"), (1, "Head", "x" * 40)]
+    assert [(r["chunk_index"], r["section_name"], r["content_text"]) for r in rows] == [(0, "Head", "# Head\n\nfirst para\n\nsecond"), (1, "x" * 40, "x" * 40)]
 
 
 def test_cjk_terms(spark):
@@ -178,3 +178,21 @@ def test_vector_searches_of_odd_rows(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in V.lsh_nearest(some.where("vec_id = 7"), same, 3, 39).collect()) == exact
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in V.IvfIndex(same, 4).search_each(some.where("vec_id = 7"), 3, share=1.0).collect()) == exact
     assert V.nearest_of_each(some, df.where("false"), 3).count() == 0 and V.nearest_of_each(df.where("false"), df, 3).count() == 0
+
+
+def test_chunks_of_long_texts(spark):
+    """Linear in the text: a hundred thousand paragraphs; sections are first lines, long ones name none."""
+    text = "\n\n".join(f"paragraph {i}" for i in range(100_000)) + "\n\n \n\n" + "y" * 90
+    rows = T.chunks(spark.createDataFrame([(1, text)], "doc_id int, text string"), 500).orderBy("chunk_index").collect()
+    assert "\n\n".join(r["content_text"] for r in rows) == text.replace("\n\n \n\n", "\n\n") and max(len(r["content_text"]) for r in rows) <= 500
+    assert rows[0]["section_name"] == "paragraph 0" and rows[-1]["content_text"].endswith("y" * 90)
+    assert T.chunks(spark.createDataFrame([(2, "z" * 90)], "doc_id int, text string")).first()["section_name"] is None
+
+
+def test_index_of_odd_texts(spark):
+    """German, Chinese, snake_case, null and repeated words, against counts by hand."""
+    docs = spark.createDataFrame([(1, "Für den cold_cache, cold_cache! 数据库"), (2, None), (3, "the é ß of x"), (4, "")], "doc_id long, text string")
+    got = {(r["term"], r["doc_id"]): r["tf"] for r in T.inverted_index(docs).collect()}
+    assert got == {("für", 1): 1, ("den", 1): 1, ("cold_cache", 1): 2, ("数据库", 1): 1, ("é", 3): 1, ("ß", 3): 1, **{(g, 1): 1 for g in ("数", "数据", "据", "据库", "库")}}
+    v = {r["doc_id"]: r["embedding"] for r in T.hash_embeddings(docs, dims=16).collect()}
+    assert set(v) == {1, 2, 3, 4} and v[2] == v[4] == [0.0] * 16 and abs(sum(x * x for x in v[1]) - 1) < 1e-9 and len(v[1]) == 16
