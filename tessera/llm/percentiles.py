@@ -66,6 +66,7 @@ def _hashed(nodes: np.ndarray, salts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _spread(counters: np.ndarray, codes: np.ndarray, counts: np.ndarray, start: np.ndarray | int = 0) -> None:
     """Adds counts of codes to counters (flat), which begin at start for each code."""
+    counts = counts.astype(counters.dtype, copy=False)
     np.add.at(counters, start + (codes >> (BITS - EXACT_BITS)), counts)
     for level in range(SKETCHED):
         bucket, sign = _hashed((codes >> (SKETCHED - 1 - level))[None, :], _SALTS[level][:, None])
@@ -148,9 +149,9 @@ class DyadicSketch:
 
 
 def answers(sketches: list[DyadicSketch], q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Count, codes at the quantiles q, and bound of the rank error of each sketch, all read from the counters."""
+    """Count, codes at the quantiles q, and bound of the rank error of each sketch, all read from the counters (as doubles, exact up to 2**53)."""
     g, k = len(sketches), len(q)
-    c = np.zeros((g, COUNTERS), np.int64)
+    c = np.zeros((g, COUNTERS))
     few = [(i, *s.updates()) for i, s in enumerate(sketches) if s.counters is None]
     if few:
         start = np.repeat([i * COUNTERS for i, *_ in few], [len(codes) for _, codes, _ in few])
@@ -159,13 +160,13 @@ def answers(sketches: list[DyadicSketch], q: np.ndarray) -> tuple[np.ndarray, np
         if s.counters is not None:
             c[i] = s.counters
     top = np.cumsum(c[:, : 1 << EXACT_BITS], axis=1)
-    n = top[:, -1]
+    n = top[:, -1].astype(np.int64)
     rank = np.maximum(np.ceil(q[None, :] * n[:, None]), 1)
     node = np.minimum(np.array([np.searchsorted(t, r) for t, r in zip(top, rank)]).reshape(g, k), (1 << EXACT_BITS) - 1)
     row = np.arange(g)[:, None]
-    inside = c[row, node].astype(float)
+    inside = c[row, node]
     rank = rank - (top[row, node] - inside)
-    fine = c[:, 1 << EXACT_BITS :].astype(float).reshape(g, SKETCHED, DEPTH, WIDTH)
+    fine = c[:, 1 << EXACT_BITS :].reshape(g, SKETCHED, DEPTH, WIDTH)
     moments = np.median(np.einsum("gldw,gldw->gld", fine, fine), axis=2)
     variance = np.zeros((g, k))
     for level in range(SKETCHED):
