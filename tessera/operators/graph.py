@@ -39,8 +39,8 @@ class Graph:
         return out if edge else out.drop("_edge")
 
     def bfs(self, start: list, depth: int, direction: str = "either", kind: str | None = None) -> DataFrame:
-        """id and depth of every node within `depth` hops of the start ids; the frontier is checkpointed in each round."""
-        steps = self._directed(direction, kind).select("_from", "_to").distinct()
+        """id and depth of every node within `depth` hops of the start ids (edges to ids that are no nodes lead nowhere); the frontier is checkpointed in each round."""
+        steps = self._directed(direction, kind).select("_from", "_to").distinct().join(self.nodes.select(F.col("id").alias("_to")), "_to", "left_semi")
         seen = cut_lineage(self.nodes.where(F.col("id").isin(start)).select("id", F.lit(0).alias("depth")))
         frontier = seen
         for d in range(1, depth + 1):

@@ -196,3 +196,33 @@ def test_index_of_odd_texts(spark):
     assert got == {("für", 1): 1, ("den", 1): 1, ("cold_cache", 1): 2, ("数据库", 1): 1, ("é", 3): 1, ("ß", 3): 1, **{(g, 1): 1 for g in ("数", "数据", "据", "据库", "库")}}
     v = {r["doc_id"]: r["embedding"] for r in T.hash_embeddings(docs, dims=16).collect()}
     assert set(v) == {1, 2, 3, 4} and v[2] == v[4] == [0.0] * 16 and abs(sum(x * x for x in v[1]) - 1) < 1e-9 and len(v[1]) == 16
+
+
+def test_bfs_stays_among_nodes(spark):
+    from tessera.operators.graph import Graph
+
+    nodes = spark.createDataFrame([(i, ["N"], {}) for i in (1, 2, 3)], "id long, labels array<string>, props map<string,string>")
+    edges = spark.createDataFrame([(1, 2, "E", {}), (2, 9, "E", {}), (9, 3, "E", {})], "src long, dst long, type string, props map<string,string>")
+    assert sorted(map(tuple, Graph(nodes, edges).bfs([1], 5).collect())) == [(1, 0), (2, 1)]
+
+
+def test_stream_of_late_and_repeated_events(spark, tmp_path):
+    """Four micro-batches: windows close behind the watermark, a row of a closed window is dropped, a repeated id counts once."""
+    import time
+    from datetime import datetime
+
+    from tessera.streaming import events as ev
+
+    at = lambda h, m: datetime(2024, 1, 1, h, m)
+    batches = [[(1, at(10, 0), 1.0), (2, at(10, 4), 2.0), (2, at(10, 4), 2.0)], [(3, at(10, 8), 4.0), (4, at(12, 0), 8.0), (1, at(10, 0), 1.0)], [(6, at(12, 1), 32.0)], [(5, at(10, 5), 16.0), (7, at(15, 0), 64.0)]]
+    kinds = "id long, at timestamp, v double"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are taken in order of their age
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    found, ids = {}, []
+    stream = ev.event_stream(spark, str(tmp_path / "in"), schema, 1)
+    ev.run_to_end(ev.windowed(stream, "at", "1 hour", None, [], "v", late="10 minutes"), lambda b, n: found.update({r["window_start"].hour: (r["n"], r["total"]) for r in b.collect()}), str(tmp_path / "c1"))
+    assert found == {10: (5, 10.0), 12: (2, 40.0)}  # the repeated rows count here, the late one does not
+    ev.run_to_end(ev.once_per_id(stream, "at", ["id"], late="3 hours").select("id"), lambda b, n: ids.extend(r["id"] for r in b.collect()), str(tmp_path / "c2"))
+    assert sorted(ids) == [1, 2, 3, 4, 5, 6, 7]
